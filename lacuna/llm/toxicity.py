@@ -1,6 +1,6 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Tokens are classed: insult, threat, target, negation, report, quote mark, other. Four small transducers read a clause:
+Tokens are classed: insult, threat, target, negation, report, other. Four small transducers read a clause:
 the matcher of insults and threats, which emits a match with its word's weight; one that remembers a target; one
 whose state counts down the few tokens over which a negation holds; one that remembers reported speech. Their
 composition is one table, built once: a state and a class give the next state and the register into which the match
@@ -36,7 +36,7 @@ from .common import steps, stored, text_or_empty, words_of
 MOST = 20_000
 #: A word becomes an insult by learning if so large a share of the toxic documents have it, with such log odds.
 SHARE, ODDS = 0.02, 3.0
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 REGISTERS = ("plain", "aimed", "negated", "reported")
 PLAIN, AIMED, NEGATED, REPORTED = range(4)
 #: Seeds of the classes.
@@ -59,16 +59,11 @@ class Transducer:
         self.step, self.tag = step, tag
 
 
-def _same(n: int, state: int, **to: int) -> list[int]:
-    return [to.get(str(c), state) for c in range(n)]
-
-
 def grammar() -> tuple[list[list[int]], list[list[int]], list[bool]]:
     """The composed table: next state, register of a match by state and class, and whether a state remembers a target."""
-    n = 7
+    n = 6
     target = Transducer([[1 if c == TARGET else s for c in range(n)] for s in range(2)], [0, 1])
     negation = Transducer([[NEGATION_SPAN if c == NEGATION else max(0, s - 1) for c in range(n)] for s in range(NEGATION_SPAN + 1)], [0] + [1] * NEGATION_SPAN)
-    # Reported once a report word and then a quote mark, or a report word alone, has been read.
     report = Transducer([[1 if c == REPORT else s for c in range(n)] for s in range(2)], [0, 1])
     states = list(itertools.product(range(2), range(NEGATION_SPAN + 1), range(2)))
     at = {s: i for i, s in enumerate(states)}
@@ -125,8 +120,6 @@ class Grammar:
         clause = np.searchsorted(clause_ends, hits)
         for c in np.unique(clause):
             begin, end = (clause_ends[c - 1] + 1 if c else 0), clause_ends[c] + 1
-            # What lies further from the clause's matches than any state reaches changes nothing, but for targets and
-            # reports: the clause is read as its tokens that have a class, and the gaps by their length.
             part = np.arange(begin, end)
             sums = clause_registers(kind[part].tolist(), weights[ids[part]].tolist())
             row = out[text[begin]]
@@ -172,17 +165,15 @@ def _word_counts(batches):
             once = np.unique(text * n + ids)
             word, flag = once % n, toxic[once // n] > 0
             yes, no = np.bincount(word[flag], minlength=n), np.bincount(word[~flag], minlength=n)
-            some = np.flatnonzero(yes)
-            yield pa.RecordBatch.from_arrays([bare.dictionary.take(pa.array(some)), pa.array(yes[some]), pa.array(no[some])], names=["word", "yes", "no"])
+            yield pa.RecordBatch.from_arrays([bare.dictionary, pa.array(yes[: len(bare.dictionary)]), pa.array(no[: len(bare.dictionary)])], names=["word", "yes", "no"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, rounds: int = 25) -> Grammar:
     """A grammar learned from the sample; only counts, words over the thresholds and features come to the driver."""
     rows, grammar = sample(docs, labels, most), seeded()
-    n_yes, n_no = (int(x or 0) for x in rows.agg(F.count_if("toxic > 0"), F.count_if("toxic = 0")).first())
+    n_yes, n_no = (int(x or 0) for x in rows.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first())
     if not n_yes or not n_no:
         return grammar
-    # Words that no toxic document of a step has are counted by its toxic ones only; their odds only fall.
     seen = rows.select("text", "toxic").mapInArrow(_word_counts, "word string, yes long, no long").groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     odds = F.log((F.col("yes") + 0.5) / (n_yes + 1)) - F.log((F.col("no") + 0.5) / (n_no + 1))
     seeds = [w for c in (INSULT, THREAT) for w in SEEDS[c]]
