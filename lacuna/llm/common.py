@@ -70,7 +70,7 @@ def sums_by_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text that a Python worker takes at once.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES):

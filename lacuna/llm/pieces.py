@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Segments that a worker keeps; beyond so many it starts anew.
-KEPT = 1_000_000
+#: Segments of a generation; a worker keeps two generations, and what is met again moves to the younger.
+KEPT = 250_000
 #: Up to so many symbols the agenda is a plain list, beyond it a heap.
 SHORT = 24
 #: A vocabulary of at most this size is sent to the workers.
@@ -49,6 +49,7 @@ class Coder:
         self.rank = {p: levels[s] for p, s in self.scores.items()}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.bos, self.eos, self.kept = sp.bos_id(), sp.eos_id(), {}
+        self.older: dict[str, bytes] = {}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a mark after another character: segments would merge")
         if not all(sp.is_byte(b) for b in self.bytes):
@@ -111,10 +112,12 @@ class Coder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, with begin and end, as little-endian unsigned 32-bit integers."""
         if len(self.kept) > KEPT:
-            self.kept.clear()
-        kept = self.kept
+            self.older, self.kept = self.kept, {}
+        kept, older = self.kept, self.older
         split = [SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = [s for s in set().union(*split) if s not in kept]
+        absent = [s for s in set().union(*split) if s not in kept]
+        kept.update((s, older[s]) for s in absent if s in older)
+        new = [s for s in absent if s not in kept]
         own = [self.segment(s) for s in new]
         theirs = self.library.encode([s[1:].replace(MARK, " ") for s in new], num_threads=1) if new else []
         for s, a, b in zip(new, own, theirs):
@@ -146,7 +149,7 @@ def default_model() -> str:
 
 
 #: Characters of text that are encoded at once.
-STEP = 2_000_000
+STEP = 1_000_000
 
 
 def _runs(texts: list[str]):
