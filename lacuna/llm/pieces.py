@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Segments of a generation; a worker keeps two generations, and what is met again moves to the younger.
-KEPT = 250_000
+KEPT = 400_000
 #: Up to so many symbols the agenda is a plain list, beyond it a heap.
 SHORT = 24
 #: A vocabulary of at most this size is sent to the workers.
