@@ -33,11 +33,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lacuna/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder and read again: cuts the lineage, and outlives lost executors."""
+def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """The same rows, written to the shared folder (in at most `parts` tasks, where given) and read again.
+
+    Cuts the lineage, and outlives lost executors.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
