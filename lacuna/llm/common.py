@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -72,13 +73,31 @@ def sums_by_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """The cache of an operator in this Python worker. A worker serves many operators; it keeps the last one's cache only."""
+    if owner not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return _kept.setdefault(owner, {})
+
+
 #: Bytes of text that a Python worker takes at once.
 STEP_BYTES = 4 << 20
 
 
+def text_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
+    """A column of texts; "row.text" is a field of the struct column row."""
+    top, *inner = column.split(".")
+    return pc.struct_field(batch.column(top), inner).cast(pa.string()) if inner else batch.column(top)
+
+
 def steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES):
     """The batch in slices of at most about `most` bytes of text (one row at least)."""
-    texts = batch.column(column)
+    texts = text_of(batch, column)
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     ends = np.cumsum(sizes)
     start = 0

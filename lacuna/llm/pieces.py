@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Segments of a generation; a worker keeps two generations, and what is met again moves to the younger.
@@ -131,15 +133,12 @@ class Coder:
         return self.library.decode([list(memoryview(x).cast("I")) for x in ids], num_threads=1)
 
 
-_coders: dict[bytes, Coder] = {}
-
-
 def coder(model: bytes) -> Coder:
-    key = hashlib.sha256(model).digest()
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(model)
-    return _coders[key]
+    coders, key = worker_cache("pieces"), hashlib.sha256(model).digest()
+    if key not in coders:
+        coders.clear()
+        coders[key] = Coder(model)
+    return coders[key]
 
 
 def default_model() -> str:
