@@ -85,6 +85,17 @@ def worker_cache(owner: str) -> dict:
     return _kept.setdefault(owner, {})
 
 
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same frame; its session's Arrow batches stay small, also where texts are long, unless the user set their size."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(BATCH_KEY):
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+    return df
+
+
 #: Bytes of text that a Python worker takes at once.
 STEP_BYTES = 4 << 20
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import bounded_batches, worker_cache
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -190,7 +190,7 @@ def encode(docs: DataFrame, model_path: str | None = None, ids: bool = True) ->
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, ids array<int>, n_tokens long, ids_sha256 string, decoded string, decoded_sha256 string"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, documents: DataFrame) -> DataFrame:
