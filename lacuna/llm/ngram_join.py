@@ -12,8 +12,13 @@
    can't reach the threshold are left out exactly, and the others are verified.
 4. Links that hold make components; a component is a class.
 
+5. Within a class every two texts are compared, on the full n-gram sets: a class is dealt into blocks of texts, two
+   blocks (or one with itself) meet in a task, and the sizes of all intersections are a product of matrices. Texts of
+   sizes too far apart for the threshold never meet in a large class.
+
 So a link between two texts that share a bucket is verified itself, or both ends already lie in one class by other
-verified links. `n_links` counts the verified links of the document's text; copies of one text count no link.
+verified links. `n_links` counts all other texts of the class at or above the threshold, not only those that buckets
+led to; copies of one text count no link.
 
 Defined results: a text of fewer than n words has one n-gram, all its words; a text without words, or null, has none
 and is alone in its class, but for its exact copies; a null doc_id is kept, and a class's id is its smallest doc_id
@@ -26,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, mixed, steps, stored, text_or_empty, words_of, worker_cache
@@ -35,6 +40,10 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Hash functions at most, for the choice of bands.
 HASHES = 256
 ROUNDS = 3
+#: Texts and n-grams that a block of a class has on average at most; a class within both bounds is one block.
+BLOCK_TEXTS, BLOCK_GRAMS = 1_024, 1_000_000
+#: n-grams of a block that one product of matrices takes.
+COLUMNS_A_PRODUCT = 4_096
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most: int = HASHES) -> tuple[int, int]:
@@ -176,8 +185,89 @@ def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter("a != b").select("a", "b").distinct()
 
 
-def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """The rows (node, doc_id, class_id, n_links, n_copies) of all documents, and the links (a, b, j) between nodes."""
+def _common(n: int, threshold: float):
+    """For each node of a task, how many nodes of the other block (of its own block, where there is one only) it is linked to."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = np.asarray(table.column("side").combine_chunks())
+        grams, starts = ngrams(table.column("text").combine_chunks(), n)
+        own = np.repeat(np.arange(len(side)), np.diff(starts))
+        by = np.lexsort((grams, own))
+        grams, own = grams[by], own[by]
+        new = np.ones(len(by), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (own[1:] != own[:-1])
+        grams, own = grams[new], own[new]
+        sizes = np.bincount(own, minlength=len(side))
+        one = not side.any()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if one else 1))
+        place = np.zeros(len(side), np.int64)
+        place[left] = np.arange(len(left))
+        place[right] = np.arange(len(right))
+        _, code = np.unique(grams, return_inverse=True)
+        on_left, on_right = (np.bincount(code, weights=side[own] == k, minlength=code.max(initial=-1) + 1) for k in (0, 1))
+        shared = on_left > 1 if one else (on_left > 0) & (on_right > 0)
+        take = shared[code]
+        code, own = (np.cumsum(shared) - 1)[code[take]], own[take]
+        by = np.argsort(code, kind="stable")
+        code, own = code[by], own[by]
+        common = np.zeros((len(left), len(right)), np.float32)  # whole numbers, exact up to 2^24
+        for begin in range(0, int(shared.sum()), COLUMNS_A_PRODUCT):
+            lo, hi = np.searchsorted(code, [begin, begin + COLUMNS_A_PRODUCT])
+            x = np.zeros((len(left), COLUMNS_A_PRODUCT), np.float32)
+            y = x if one else np.zeros((len(right), COLUMNS_A_PRODUCT), np.float32)
+            c, o = code[lo:hi] - begin, own[lo:hi]
+            first = side[o] == 0
+            x[place[o[first]], c[first]] = 1
+            if not one:
+                y[place[o[~first]], c[~first]] = 1
+            common += x @ y.T
+        either = sizes[left][:, None] + sizes[right][None, :] - common.astype(np.float64)
+        linked = (common / np.maximum(either, 1) >= threshold) & (either > 0)
+        if one:
+            np.fill_diagonal(linked, False)
+        many = np.zeros(len(side), np.int64)
+        many[left] = linked.sum(axis=1)
+        if not one:
+            many[right] = linked.sum(axis=0)
+        return pa.table([table.column("node"), pa.array(many)], names=["node", "n_links"])
+
+    return run
+
+
+def degrees(placed: DataFrame, texts: DataFrame, n: int, threshold: float, block_texts: int = BLOCK_TEXTS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """(node, n_links) of the nodes of placed(node, root, size): the nodes of the same root at or above the threshold."""
+    # Sizes in one step of this scale, or in two that follow each other, may be close enough; others can't.
+    width = max(float(np.log(1 / threshold)), 1e-3) * 1.000001
+    whole = placed.groupBy("root").agg(F.count("*").alias("texts"), F.sum("size").alias("grams"))
+    f = placed.join(whole.filter("texts > 1"), "root")
+    small = (F.col("texts") <= block_texts) & (F.col("grams") <= block_grams)
+    f = f.withColumn("level", F.when(small, 0).otherwise(F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(width)).cast("int")))
+    f = stored(f.select("node", "root", "size", "texts", "level"), "join-classes")
+    pairs = f.filter("texts = 2").select("node", F.lit(1).cast("long").alias("n_links"))  # the link that made the class
+    f = f.filter("texts > 2")
+    levels = f.groupBy("root", "level").agg(F.count("*").alias("texts"), F.sum("size").alias("grams"))
+    many = F.ceil(F.greatest(F.col("texts") / F.lit(block_texts), F.col("grams") / F.lit(block_grams))).cast("int")
+    levels = levels.select("root", F.struct("level", F.greatest(many, F.lit(1)).alias("blocks")).alias("x"))
+    levels = levels.groupBy("root").agg(F.map_from_entries(F.collect_list("x")).alias("blocks"))
+    f = f.join(levels, "root")
+    count = lambda level: F.coalesce(F.try_element_at("blocks", level), F.lit(0))
+    f = f.withColumn("block", F.pmod(F.xxhash64("node"), count(F.col("level"))).cast("int"))
+    level, block = F.col("level"), F.col("block")
+
+    def tasks(other: Column, make) -> Column:
+        listed = F.when(count(other) > 0, F.sequence(F.lit(0), count(other) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(listed, lambda c: F.struct(*[x.cast("int").alias(k) for k, x in zip(("level", "a", "up", "b", "side"), make(c))]))
+
+    within = tasks(level, lambda c: (level, F.least(block, c), F.lit(0), F.greatest(block, c), (block > c)))
+    above = tasks(level + 1, lambda c: (level, block, F.lit(1), c, F.lit(0)))
+    below = tasks(level - 1, lambda c: (level - 1, c, F.lit(1), block, F.lit(1)))
+    dealt = f.select("node", "root", F.explode(F.concat(within, above, below)).alias("x")).select("node", "root", "x.*")
+    counted = bounded_batches(dealt.join(texts, "node")).groupBy("root", "level", "a", "up", "b").applyInArrow(_common(n, threshold), "node binary, n_links long")
+    return pairs.unionByName(counted.groupBy("node").agg(F.sum("n_links").alias("n_links")))
+
+
+def classes(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (node, doc_id) of all documents, (node, root, size, class_id, n_copies) of all nodes, and the texts of nodes that share a bucket."""
     bands, rows = bands_for(threshold, recall)
     base = docs.select("doc_id", text_or_empty().alias("text")).withColumn("node", F.unhex(F.md5("text")))
     kind = dict(base.dtypes)["doc_id"]
@@ -211,17 +301,22 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall:
     more = late.filter(F.col("j") >= threshold)
     moved = None
     if not more.isEmpty():
-        links = links.unionByName(more)
         moved = components(between(more, roots)).select(F.col("node").alias("root"), F.col("root").alias("to"))
 
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-    degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = nodes.select("node", "own", "n_copies").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = nodes.select("node", "own", "n_copies", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     if moved is not None:
         placed = placed.join(stored(moved, "join-moved"), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
     smallest = placed.groupBy("root").agg(F.min("own").alias("class_id"))
-    placed = placed.join(smallest, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
-    return signed.select("node", "doc_id").join(placed, "node"), links
+    return signed.select("node", "doc_id"), placed.join(smallest, "root").select("node", "root", "size", "class_id", "n_copies"), texts
+
+
+def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, rounds: int = ROUNDS) -> DataFrame:
+    """The rows (node, doc_id, class_id, n_links, n_copies) of all documents."""
+    rows, placed, texts = classes(docs, n, threshold, recall, rounds)
+    placed = stored(placed, "join-placed-all")
+    degree = stored(degrees(placed.select("node", "root", "size"), texts, n, threshold), "join-degrees")
+    placed = placed.join(degree, "node", "left")
+    return rows.join(placed.select("node", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies"), "node")
 
 
 def _tokens(n: int):
@@ -273,12 +368,13 @@ def remaining(members: DataFrame, nodes: DataFrame, roots: DataFrame, texts: Dat
 
 
 def query(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    return join(documents)[0].drop("node")
+    return join(documents).drop("node")
 
 
 def keep_documents(documents: DataFrame, **how) -> DataFrame:
     """One document of each class: that with the class's id. Repeated rows of it are one; null doc_ids that are alone stay."""
-    rows, _ = join(documents, **how)
+    rows, placed, _ = classes(documents, **how)
+    rows = rows.join(placed.select("node", "class_id"), "node")
     node = F.unhex(F.md5(text_or_empty()))
     first = rows.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("node", F.col("doc_id").alias("first")).distinct()
     kept = documents.select("doc_id", "text", "lang", "source", "n_chars", node.alias("node"))

@@ -324,6 +324,29 @@ def test_ngram_join(spark, docs, empty):
     assert Counter(kept) == Counter({c for _, c in want})
 
 
+def test_ngram_join_counts_all_links(spark):
+    rng = np.random.default_rng(11)
+    base = [f"v{i}" for i in rng.integers(0, 500, 300)]
+    texts = []
+    for k in range(40):  # one class of 40 different texts; some pairs of it lie below the threshold
+        t = list(base[: 300 - 2 * (k % 20)])
+        for _ in range(k % 6):
+            t[int(rng.integers(len(t)))] = f"z{rng.integers(10_000)}"
+        texts.append(t)
+    texts += [[f"u{i}" for i in range(60)], [f"u{i}" for i in range(61)]]
+    known = [" ".join(t) for t in texts]
+    known.append(known[0])  # a copy has its text's links and is none itself
+    sets = [shingles(t) for t in known]
+    want = {i: len({y for y, b in zip(known, sets) if y != x and len(a & b) / len(a | b) >= 0.8}) for i, (x, a) in enumerate(zip(known, sets))}
+    assert 0 < min(want.values()) and max(want.values()) < 40 and len(set(want.values())) > 5
+    rows = ngram_join.query(spark, make(spark, [(i, t, "en", "a") for i, t in enumerate(known)])).collect()
+    assert {r["doc_id"]: r["n_links"] for r in rows} == want
+    # The same in many blocks, of different sizes of texts.
+    nodes = spark.createDataFrame([(str(i).encode(), b"r", len(a), t) for i, (a, t) in enumerate(zip(sets[:40], known))], "node binary, root binary, size long, text string")
+    dealt = ngram_join.degrees(nodes.drop("text"), nodes.select("node", "text"), 5, 0.8, block_texts=7)
+    assert {int(r["node"]): r["n_links"] for r in dealt.collect() if r["n_links"]} == {i: want[i] for i in range(40)}
+
+
 def test_bands():
     bands, rows = ngram_join.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= ngram_join.HASHES
