@@ -1,10 +1,11 @@
 """License scans with a positional rare-token index, in DataFrame functions only.
 
 Templates are short licence notices. Their words make the licence vocabulary, whose document frequencies are counted
-over all documents. Of each file the `rare` licence words of the highest IDF are looked up in the templates'
-postings (word -> template, place); places that agree (place in the file - place in the template) are intersected by
-counting, for each template and shift, the template places that were hit. A template is found where the places hit
-carry at least `least` of the IDF that its rare words have, and its mandatory key phrases stand in the file.
+over all documents. Of each template the `rare` words of the highest IDF have postings (word -> template, place), and
+all places of these words in a file are looked up, whatever other notices it holds; places that agree (place in the
+file - place in the template) are intersected by counting, for each template and shift, the template places that were
+hit. A template is found where the places hit carry at least `least` of the IDF that its rare words have, and its
+mandatory key phrases stand in the file.
 
 Defined results: a null text counts as empty: no words, no labels, score 0; null doc_id and repeated rows are kept
 row by row; an empty table gives an empty result; further columns are not read.
@@ -113,7 +114,6 @@ def scan(docs: DataFrame, templates: dict = TEMPLATES, phrases=PHRASES, rare: in
     words = vocabulary(templates)
     seen = frequencies(tokens, words)
     idf = {w: math.log((seen.get("", 0) + 1) / (seen.get(w, 0) + 1)) + 1 for w in words}
-    rarest_first = F.array(*map(F.lit, sorted(words, key=lambda w: (-idf[w], w))))
     docs = with_phrases(tokens, phrases)
     names = sorted(templates)
     marks = F.lit(0)
@@ -123,9 +123,11 @@ def scan(docs: DataFrame, templates: dict = TEMPLATES, phrases=PHRASES, rare: in
             has = has & F.contains("text", F.lit(f" {p} "))
         marks = marks + F.when(has, F.lit(1 << i)).otherwise(F.lit(0))
     docs = docs.withColumn("phrases", marks).withColumn("row", F.monotonically_increasing_id())
-    # The file's rarest licence words, then all places of these.
+    # Each template's rarest words, then all places that the file has of those whose template's phrases it holds.
+    rarest = {name: sorted({w for w in templates[name][0].split() if w in idf}, key=lambda w: (-idf[w], w))[:rare] for name in names}
     docs = docs.withColumn("words", F.split("text", " "))
-    docs = docs.withColumn("own", F.slice(F.array_intersect(rarest_first, "words"), 1, rare))
+    looked = [F.when(F.col("phrases").bitwiseAND(F.lit(1 << i)) != 0, F.array(*map(F.lit, rarest[name]))).otherwise(F.array().cast("array<string>")) for i, name in enumerate(names)]
+    docs = docs.withColumn("own", F.when(F.col("phrases") != 0, F.array_distinct(F.concat(*looked))).otherwise(F.array().cast("array<string>")))
     places = F.transform("words", lambda w, i: F.when(F.array_contains("own", w), F.struct(w.alias("word"), (i - 1).alias("at"))))
     places = F.when(F.size("own") > 0, F.array_compact(places))
     facts = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base", "phrases"]
@@ -134,14 +136,14 @@ def scan(docs: DataFrame, templates: dict = TEMPLATES, phrases=PHRASES, rare: in
         F.struct(F.lit(w).alias("word"), F.lit(i).alias("template"), F.lit(j).alias("place"), F.lit(idf[w]).alias("idf"))
         for i, name in enumerate(names)
         for j, w in enumerate(templates[name][0].split())
-        if w in idf
+        if w in rarest[name]
     ]
     postings = docs.sparkSession.range(1, numPartitions=1).select(F.explode(F.array(*posts)).alias("p")).select("p.*")
     # As many rows as the templates have words: bounded by a parameter, not by data.
     met = kept.join(F.broadcast(postings), "word", "left")
     hits = met.groupBy(*facts, "template", (F.col("at") - F.col("place")).alias("shift")).agg(F.collect_set(F.struct("word", "idf")).alias("words"))
     got = F.aggregate("words", F.lit(0.0), lambda a, x: a + F.coalesce(x["idf"], F.lit(0.0)))
-    top = [sum(sorted((idf[w] for w in set(templates[name][0].split()) if w in idf), reverse=True)[:rare]) for name in names]
+    top = [sum(idf[w] for w in rarest[name]) for name in names]
     could = F.element_at(F.array(*map(F.lit, top)), F.col("template") + 1)
     share = F.least(F.lit(1.0), got / could)
     has = F.expr("phrases & shiftleft(1, template)") != 0

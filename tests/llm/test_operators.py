@@ -284,6 +284,14 @@ def test_licenses(spark, docs, empty):
     assert licenses.query(spark, empty).count() == 0
 
 
+def test_licenses_of_files_with_many_notices(spark):
+    names = sorted(licenses.TEMPLATES)
+    sets = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]] + [tuple(names), ("apache", "bsd", "gpl", "mpl")]
+    texts = [(i, PROSE + PROSE.join(licenses.TEMPLATES[x][0] + " " for x in s), "en", "a") for i, s in enumerate(sets)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.query(spark, make(spark, texts)).collect()}
+    assert {i: set(s) - set(got[i].split(",")) for i, s in enumerate(sets)} == {i: set() for i in range(len(sets))}
+
+
 def shingles(text):
     w = WORD.findall(text)
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
