@@ -32,9 +32,8 @@ from .common import bounded_batches, mixed, steps, stored, sums_by_text, text_of
 
 ORDER = 4
 SLOTS = 1 << 18
-#: The band, in distances between the quartiles: below the first and above the third. Wide above, as clean documents may
-#: hold passages in another language; what lies beyond is no text of any language that the corpus has.
-REACH = (10.0, 24.0)
+#: The band, in distances between the language's own quartiles: below the first and above the third.
+REACH = (3.0, 3.0)
 START, END = "\x02", "\x03"
 #: n-grams that a worker gathers before it hands them on.
 GATHER = 400_000

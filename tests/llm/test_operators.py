@@ -135,6 +135,18 @@ def test_quality_band_rejects_noise(spark):
     assert kept[99] == (False, False) and all(k for f, k in kept.values() if not f and k is not kept[99][1])
 
 
+def test_quality_band_rejects_partly_bad_text(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.permutation((PROSE * 8).split())), "en", "a") for i in range(60)]
+    for i in (90, 91):  # a few words in a clean text are random letters
+        words = rng.permutation((PROSE * 8).split()).tolist()
+        for at in rng.choice(len(words), len(words) // 16, replace=False):
+            words[at] = "".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 6))
+        rows.append((i, " ".join(words), "en", "a"))
+    kept = {r["doc_id"]: r["kept"] for r in quality.query(spark, make(spark, rows)).collect() if not r["base_failed"]}
+    assert kept[90] is False and kept[91] is False and all(kept[i] for i in kept if i < 60) and len(kept) == 62
+
+
 def test_toxicity(spark, docs, empty):
     rows, labels = [], []
     for i in range(200):
