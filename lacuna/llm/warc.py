@@ -5,10 +5,13 @@ An archive is a ZIP file with the stored members `archive/data.warc.gz` (a gzip
 it: it parses the end record, the ZIP64 end record where there is one, and the central directory, finds where the
 stored members' bytes begin, reads the index, and fetches each record by its range.
 
-Of records with equal payloads the one with the smallest page_id is the response; the others are revisits of it. The
-digests and their smallest page_ids meet without the payloads; these are shuffled once, to the writing tasks. A task
-writes under a name of its own attempt and renames at the end, so that a lost or repeated task leaves no half archive.
-Archives lie in the shared folder, by pyarrow's file systems (local, HDFS, S3).
+Of records with equal payloads one of those with the smallest page_id is the response; the others are revisits of it.
+That is decided before anything is written: a light table (page_id, url, digest, size, a row number) is stored, so that
+the row numbers stay what they are, and each digest's response is the least (page_id, row number) of it. A revisit
+needs no payload, and a response takes it from the payloads grouped by digest: so each payload is shuffled once, copies
+of a task meet before the shuffle, and no page or payload is a hot group. A task writes under a name of its own attempt
+and renames at the end, so that a lost or repeated task leaves no half archive. Archives lie in the shared folder, by
+pyarrow's file systems (local, HDFS, S3).
 
 Defined results: a null html is an empty payload; payloads below `least` bytes are all responses; rows with the same
 page_id and payload are one response and revisits of that page; a null page_id is the largest; an empty table gives
@@ -31,7 +34,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import bounded_batches, scratch, stored
 
 LEAST = 0
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -44,18 +47,19 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record."""
+def record(page_id: int | None, url: str | None, payload: bytes | None, sha1: bytes, size: int, refers_to: int | None = None) -> bytes:
+    """One WARC/1.1 record: a response, or a revisit where the payload is None. sha1 and size are the payload's."""
     name = lambda p: "null" if p is None else str(p)
-    block = HTTP % len(payload) + (b"" if revisit else payload)
+    revisit = payload is None
+    block = HTTP % size + (payload or b"")
     head = {
         "WARC-Type": "revisit" if revisit else "response",
         "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name(page_id)} {url}')}>",
         "WARC-Date": "2024-01-01T00:00:00Z",
         "WARC-Target-URI": "".join(c for c in (url or "") if c >= " "),
-        "WARC-Payload-Digest": f"sha1:{digest(payload)}",
+        "WARC-Payload-Digest": f"sha1:{base64.b32encode(sha1).decode()}",
         "X-Page-ID": name(page_id),
-        "X-Payload-Length": str(len(payload)),
+        "X-Payload-Length": str(size),
     }
     if revisit:
         head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-ID": name(refers_to)}
@@ -149,22 +153,17 @@ def _write(folder: str):
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}"
         hidden = f"{base}/.{name}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-        lines, at, data, archive, sink, done = [], 0, None, None, None, set()
+        lines, at, data, archive, sink = [], 0, None, None, None
         for batch in batches:
-            for page_id, url, html, refers_to, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "first"))):
+            for page_id, url, sha, size, refers_to, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "sha", "size", "refers_to", "html"))):
                 if data is None:
                     files.create_dir(base, recursive=True)
                     sink = files.open_output_stream(hidden)
                     archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED, allowZip64=True)
                     data = archive.open(DATA, "w", force_zip64=True)
-                payload = (html or "").encode("utf-8")
-                # Rows with the same page_id and payload are in one task: the first is the response.
-                key = (page_id, hashlib.sha1(payload).digest())
-                revisit = not first or (len(payload) >= LEAST and key in done)
-                if first:
-                    done.add(key)
+                payload = None if html is None else html.encode("utf-8")
                 packer = zlib.compressobj(4, zlib.DEFLATED, 31)
-                raw = packer.compress(record(page_id, url, payload, refers_to, revisit)) + packer.flush()
+                raw = packer.compress(record(page_id, url, payload, bytes.fromhex(sha), size, refers_to)) + packer.flush()
                 data.write(raw)
                 lines.append(json.dumps({"page_id": page_id, "offset": at, "length": len(raw)}))
                 at += len(raw)
@@ -184,21 +183,22 @@ def _write(folder: str):
 
 def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     """Writes the archives; path and number of records of each."""
-    own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    own = own.withColumn("sha", F.sha1("html"))
-    facts = own.select("page_id", "sha", F.octet_length("html").alias("size")).groupBy("page_id", "sha").agg(F.first("size").alias("size"))
-    smallest = facts.groupBy("sha").agg(F.min("page_id").alias("least"))
-    judged = facts.join(smallest, "sha")
-    alone = F.col("size") < least
-    judged = judged.select(
-        F.col("page_id").alias("p"),
-        F.col("sha").alias("s"),
-        F.when(~alone, F.col("least")).alias("refers_to"),
-        (alone | F.col("page_id").eqNullSafe(F.col("least"))).alias("first"),
-    )
-    rows = own.join(judged, own["page_id"].eqNullSafe(judged["p"]) & (own["sha"] == judged["s"])).select("page_id", "url", "html", "refers_to", "first")
+    html = F.coalesce(F.col("html"), F.lit(""))
+    own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.sha1(html).alias("sha"), F.octet_length(html).cast("long").alias("size"))
+    light = stored(own.withColumn("nth", F.monotonically_increasing_id()), "warc-rows")
+    shared = light.filter(F.col("size") >= least)
+    place = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "nth", "url", "size")
+    chosen = shared.groupBy("sha").agg(F.min(place).alias("x"))
+    responses = chosen.select("sha", "x.page_id", "x.url", "x.size")
+    if least > 0:
+        responses = responses.unionByName(light.filter(F.col("size") < least).select("sha", "page_id", "url", "size"))
+    payloads = pages.select(F.sha1(html).alias("sha"), html.alias("html")).groupBy("sha").agg(F.first("html").alias("html"))
+    responses = responses.join(payloads, "sha").withColumn("refers_to", F.lit(None).cast("long"))
+    others = shared.join(chosen, "sha").filter(F.col("nth") != F.col("x.nth"))
+    others = others.select("sha", "page_id", "url", "size", F.lit(None).cast("string").alias("html"), F.col("x.page_id").alias("refers_to"))
     path = folder + "/manifest"
-    rows.mapInArrow(_write(folder), "path string, records long").write.parquet(path)
+    rows = responses.unionByName(others).select("page_id", "url", "sha", "size", "refers_to", "html")
+    bounded_batches(rows).mapInArrow(_write(folder), "path string, records long").write.parquet(path)
     return pages.sparkSession.read.schema("path string, records long").parquet(path)
 
 

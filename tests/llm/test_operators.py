@@ -207,6 +207,31 @@ def test_warc(spark):
     assert warc.query(spark, p.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+def test_warc_of_repeated_rows_in_many_files(spark, tmp_path, broadcast):
+    rng = np.random.default_rng(6)
+    html = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 9_000))) for _ in range(500)]  # 4 x 13.5 MB
+    rows = [(i, f"http://h/{i}", h) for i, h in enumerate(html)]
+    for part in range(4):
+        spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        out = warc.query(spark, spark.read.parquet(str(tmp_path / "pages"))).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in out) == Counter({(i, "response", None): 1 for i in range(500)} | {(i, "revisit", i): 3 for i in range(500)})
+    assert {(r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in out} == {(i, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, h in enumerate(html)}
+
+
+def test_warc_with_a_least_size(spark):
+    rows = [(i, "u", "ab" if i % 2 else "a long payload") for i in range(20)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = warc.read(warc.write(p, scratch(spark, "warc"), least=5), with_payload=True).collect()
+    want = Counter({(i, "response" if i % 2 or i == 0 else "revisit", None if i % 2 or i == 0 else 0): 1 for i in range(20)})
+    assert Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in out) == want
+
+
 def test_zip_directories(tmp_path):
     import zipfile
 
