@@ -392,6 +392,54 @@ def test_ngram_join_counts_all_links(spark):
     assert {int(r["node"]): r["n_links"] for r in dealt.collect() if r["n_links"]} == {i: want[i] for i in range(40)}
 
 
+def family(rng, n, share, words=200, base="v"):
+    """Texts of one pattern in which a share of the words differ from text to text."""
+    out = []
+    for _ in range(n):
+        t = [f"{base}{i}" for i in range(words)]
+        for at in rng.choice(words, int(share * words), replace=False):
+            t[at] = f"z{rng.integers(1 << 40)}"
+        out.append(t)
+    return out
+
+
+def test_ngram_join_of_a_family_below_the_threshold(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = family(rng, 300, 0.02)  # Jaccard about 0.66: many share buckets, few are linked
+    for k in range(0, 40, 2):  # and some are linked to another one, none of them a pivot for sure
+        t = list(texts[k])
+        t[5] = f"y{k}"
+        texts.append(t)
+    known = [" ".join(t) for t in texts]
+    d, sets = make(spark, [(i, t, "en", "a") for i, t in enumerate(known)]), [shingles(t) for t in known]
+    parent = list(range(len(known)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links = Counter()
+    for i in range(len(known)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+                links[i] += 1
+                links[j] += 1
+    want = {i: (root(i), links[i]) for i in range(len(known))}
+    assert len({r for r, _ in want.values()}) > 100
+    seen, whole = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *a, **k: seen.append(pairs.count()) or whole(pairs, *a, **k))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.query(spark, d).collect()}
+    assert got == want
+    # Pairs that are rows: one for each node and band, and a fixed number for each member of small buckets.
+    assert sum(seen) < 30 * len(known)
+    # The same where every bucket goes by blocks, and small blocks.
+    monkeypatch.setattr(ngram_join, "late_links", lambda *a, f=ngram_join.late_links: f(*a, few=0, block_texts=50))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.query(spark, d).collect()}
+    assert got == want
+
+
 def test_bands():
     bands, rows = ngram_join.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= ngram_join.HASHES
