@@ -47,6 +47,15 @@ def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few short columns that may be sent to every task.
+SMALL = 100_000
+
+
+def small_side(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """The frame (stored, so that counting it is cheap), to be broadcast if it has at most `most` rows; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -106,25 +106,67 @@ def test_quality(spark, docs, empty):
     assert quality.query(spark, empty).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark):
-    docs = make(spark, [(i, "abab abba baab aabb cabac bca abc " * (1 + i % 3), "en", "a") for i in range(20)])
-    model = quality.fit(docs, order=3)
-    for start in ("", "a", "ab", "ba", "zz"):
-        # The next character after a beginning: all seen ones, the end, and one unknown.
-        total = 0.0
-        for c in "abc" + quality.END + "\u4e00":
-            codes = np.array([ord(x) for x in quality.START * 2 + start + c], np.uint32)
-            ends, log, todo = np.array([len(codes) - 1]), 0.0, True
-            for k in (3, 2, 1):
-                hit, v = model.find(k, quality.hashes(codes, ends, k, quality.seed_of("en", k)))
-                if hit[0]:
-                    log, todo = log + v[0], False
-                    break
-                if k > 1:
-                    hit, v = model.find(-(k - 1), quality.hashes(codes, ends - 1, k - 1, quality.seed_of("en", -(k - 1))))
-                    log += v[0] if hit[0] else 0.0
-            total += np.exp(log + (model.unseen["en"] if todo else 0.0))
-        assert total == pytest.approx(1.0, abs=1e-4), start
+def grams_of(text, order):
+    out, before = [], None
+    for w in WORD.findall(text):
+        context = quality.START * (order - 1) if before is None else before[-(order - 2) :].rjust(order - 2, quality.START) + " "
+        line = context + w + " "
+        out += [line[i : i + order] for i in range(len(line) - order + 1)]
+        before = w
+    return out
+
+
+def brute_kneser_ney(texts, order):
+    """The function log p(n-gram) of a language's texts."""
+    c = {order: Counter(g for t in texts for g in grams_of(t, order))}
+    for k in range(order - 1, 0, -1):
+        c[k] = Counter(g[1:] for g in c[k + 1])
+    off, total = {}, {k: Counter() for k in c}
+    for k in c:
+        n = [sum(v == i for v in c[k].values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
+        raw = [i - (i + 1) * y * n[i + 1] / n[i] if y is not None and n[i] else i - 0.5 * i if i < 2 else [0, 0.5, 1.0, 1.5][i] for i in (1, 2, 3)]
+        off[k] = [max(0.05, min(r, o + 0.45)) for r, o in zip(raw, (0.5, 1.0, 1.5))]
+        for g, v in c[k].items():
+            total[k][g[:-1]] += v
+
+    def cut(k, v):
+        return min(off[k][min(v, 3) - 1], v)
+
+    def p(g):
+        k = len(g)
+        if k == 0:
+            return 1 / (len(c[1]) + 1)
+        if not total[k][g[:-1]]:
+            return p(g[1:])
+        taken = sum(cut(k, v) for h, v in c[k].items() if h[:-1] == g[:-1])
+        own = c[k].get(g, 0)
+        return ((own - cut(k, own)) if own else 0) / total[k][g[:-1]] + taken / total[k][g[:-1]] * p(g[1:])
+
+    return lambda g: np.log(p(g))
+
+
+@pytest.mark.parametrize("order,slots", [(3, 1 << 16), (4, 1 << 16), (4, 4)])
+def test_scores_are_kneser_ney(spark, order, slots):
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice(list("abcd"), int(rng.integers(1, 6)))) for _ in range(int(rng.integers(1, 30)))) for _ in range(30)]
+    texts += [texts[0], "", None, " é\n a😀 b", "x"]
+    rows = [(i, t, ("en", "de", None)[i % 3], "a") for i, t in enumerate(texts)]
+    d = make(spark, rows)
+    model = quality.kneser_ney(quality.counts(d, order), order)
+    logs = {lang: brute_kneser_ney([t or "" for _, t, x, _ in rows if x == lang], order) for lang in ("en", "de", None)}
+    want = {i: -sum(map(logs[x], grams_of(t or "", order))) / len(WORD.findall(t or "")) if WORD.findall(t or "") else -1.0 for i, t, x, _ in rows}
+    got = {r["doc_id"]: -1.0 if r["score"] is None else r["score"] for r in quality.measured(d, model, ["doc_id"], order, slots).select("row.doc_id", "score").collect()}
+    assert got == pytest.approx(want, rel=1e-6)
+    # Other documents: unknown n-grams and characters back off.
+    other = make(spark, [(1, "abc zz daq a", "en", "a"), (2, "bca", "de", "a")])
+    got = {r["doc_id"]: r["score"] for r in quality.measured(other, model, ["doc_id"], order, slots, corpus=False).select("row.doc_id", "score").collect()}
+    assert got == pytest.approx({i: -sum(map(logs[x], grams_of(t, order))) / len(t.split()) for i, t, x in ((1, "abc zz daq a", "en"), (2, "bca", "de"))}, rel=1e-6)
+    # The probabilities of what may follow a context add up to one.
+    characters = {g[-1] for _, t, x, _ in rows if x == "en" for g in grams_of(t or "", order)} | {"\u4e00"}
+    for context in ("a", "ab", "b ", "ab "):
+        if len(context) < order:
+            assert sum(np.exp(logs["en"](context + c)) for c in characters) == pytest.approx(1.0)
 
 
 def test_quality_band_rejects_noise(spark):
