@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by largest inner product, over robust-pruned directed graphs.
 
-Vectors are dealt into shards by a hash of their id. Each shard builds one graph: points enter in growing batches; a
-greedy beam search from the entry point proposes neighbours; relaxed-distance pruning keeps a neighbour only if no
-kept one is nearer to it by the factor `alpha`; reverse edges are pruned in the same way. For inner products, a
-further coordinate gives all of a shard's vectors one norm, so that nearest in distance is largest in product. A
-query goes to every shard, in blocks of queries; beam search finds the shard's best, whose products are computed
+Vectors are dealt into bands of about equal norm and, within a band, into shards by a hash of their id. Each shard
+builds one graph: points enter in growing batches; a greedy beam search from the entry point proposes neighbours;
+relaxed-distance pruning keeps a neighbour only if no kept one is nearer to it by the factor `alpha`; reverse edges are
+pruned in the same way. For inner products, a further coordinate gives all of a shard's vectors one norm, so that
+nearest in distance is largest in product; bands of like norms keep that coordinate small. Each shard measures its
+own recall against brute force, with some of its points as queries, and doubles its beam until `goal` is reached.
+
+A query goes to every shard, in blocks of queries; beam search finds the shard's best, whose products are computed
 again in double precision from the original vectors, and the best over all shards are kept.
 
 Equal vectors are one point of the graph; its members are the ids that have it, of which a query needs no more than
@@ -24,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stored
+from .common import small_side, stored
 
 K = 20
 QUERIES_BY = 20
-SHARD = 8192
+SHARD = 2048
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
+#: Ratio of the norms in a band; recall that a shard asks of its beam, and how many of its points measure it.
+STEP, GOAL, PROBES = 1.1, 0.97, 64
 BATCH = 512
 #: Queries that meet a shard in one task.
 BLOCK = 8192
@@ -44,6 +49,7 @@ class Graph:
 
     @staticmethod
     def augmented(x: np.ndarray) -> np.ndarray:
+        x = x / max(float(np.abs(x).max(initial=0)), 5e-324)  # no norm is beyond what 32 bits hold
         square = (x.astype(np.float64) ** 2).sum(1)
         return np.concatenate([x, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], axis=1).astype(np.float32)
 
@@ -153,21 +159,49 @@ class Graph:
             source, target = source[~now], target[~now]
 
 
-def _build(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("vec_id", ignore_index=True)
-    x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-    g = Graph.build(Graph.augmented(x))
-    return pd.DataFrame(
-        {
-            "width": [x.shape[1]],
-            "shard": [rows["shard"].iloc[0]],
-            "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()],
-            "vectors": [x.tobytes()],
-            "points": [g.x.tobytes()],
-            "edges": [g.edges.tobytes()],
-            "entry": [g.entry],
-        }
-    )
+def fitting_beam(g: Graph, x: np.ndarray, k: int, goal: float, least: int = BEAM, probes: int = PROBES) -> int:
+    """The narrowest beam, of least doubled again and again, whose mean recall of the k best is at least goal for points of the shard."""
+    n = len(x)
+    if n <= least:
+        return least
+    rows = np.random.Generator(np.random.PCG64(n + 1)).choice(n, min(n, probes), replace=False)
+    q = x[rows]
+    best = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]
+    beam = least
+    while beam < n:
+        near, _ = g.search(as_query(g, q), beam)
+        hits = sum(len(np.intersect1d(a[:k], b)) for a, b in zip(near, best))
+        if hits >= goal * best.size:
+            break
+        beam *= 2
+    return min(beam, n)
+
+
+def as_query(g: Graph, q: np.ndarray) -> np.ndarray:
+    """Queries as points: with the shard's norm, and nothing in the further coordinate."""
+    scale = np.sqrt((q * q).sum(1, keepdims=True))
+    return np.concatenate([q / scale * np.sqrt(float(g.norm[0])), np.zeros((len(q), 1))], axis=1).astype(np.float32)
+
+
+def _build(k: int, goal: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("vec_id", ignore_index=True)
+        x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+        g = Graph.build(Graph.augmented(x))
+        return pd.DataFrame(
+            {
+                "width": [x.shape[1]],
+                "shard": [rows["shard"].iloc[0]],
+                "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()],
+                "vectors": [x.tobytes()],
+                "points": [g.x.tobytes()],
+                "edges": [g.edges.tobytes()],
+                "entry": [g.entry],
+                "beam": [fitting_beam(g, x, k, goal)],
+            }
+        )
+
+    return run
 
 
 def _search(k: int):
@@ -179,13 +213,10 @@ def _search(k: int):
             x = np.frombuffer(s["vectors"], np.float64).reshape(len(ids), -1)
             points = np.frombuffer(s["points"], np.float32).reshape(len(ids), -1)
             g = Graph(points, np.frombuffer(s["edges"], np.int32).reshape(len(ids), -1), int(s["entry"]))
-            for a in range(0, len(asked), 1024):
-                part = asked.iloc[a : a + 1024]
+            for a in range(0, len(asked), 256):
+                part = asked.iloc[a : a + 256]
                 q = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                scale = np.sqrt((q * q).sum(1, keepdims=True))
-                # The query has the shard's norm and nothing in the further coordinate.
-                norm = np.sqrt(float(g.norm[0]))
-                near, _ = g.search(np.concatenate([q / scale * norm, np.zeros((len(q), 1))], axis=1).astype(np.float32))
+                near, _ = g.search(as_query(g, q), int(s["beam"]))
                 score = np.where(near >= 0, np.einsum("qd,qkd->qk", q, x[np.maximum(near, 0)]), -np.inf)
                 found = np.where(near >= 0, ids[np.maximum(near, 0)], np.iinfo(np.int64).max)
                 by = np.lexsort((found, -score), axis=1)[:, : k + 1]
@@ -208,32 +239,49 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def search(vectors: DataFrame, is_query, k: int = K, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def dealt(points: DataFrame, shard: int, step: float = STEP) -> tuple[DataFrame, DataFrame]:
+    """points with their shard, and for each width its number of shards. Norms in a band differ by a factor of `step` at most."""
+    most = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / F.col("most")) * (x / F.col("most")))
+    points = points.withColumn("most", most).withColumn("band", F.floor((F.ln("most") + F.ln(square) / 2) / F.lit(float(np.log(step)))).cast("int")).drop("most")
+    points = stored(points, "ann-banded")
+    # The range of doubles bounds the number of bands.
+    sizes = points.groupBy("width", "band").agg(F.ceil(F.count("*") / F.lit(shard)).cast("long").alias("own"))
+    before = W.partitionBy("width").orderBy("band").rowsBetween(W.unboundedPreceding, -1)
+    sizes = stored(sizes.withColumn("first", F.coalesce(F.sum("own").over(before), F.lit(0)).cast("long")), "ann-sizes")
+    points = points.join(small_side(sizes), ["width", "band"]).withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("own"))).drop("band", "own", "first")
+    return points, sizes.groupBy("width").agg(F.sum("own").cast("long").alias("shards"))
+
+
+def search(vectors: DataFrame, is_query, k: int = K, shard: int = SHARD, block: int = BLOCK, goal: float = GOAL) -> DataFrame:
     """query_id, rank, vec_id and score. is_query: a condition on vec_id."""
     rows = stored(usable(vectors), "ann-vectors")
     code = rows.select("vec_id", F.sha2(F.to_json("embedding"), 256).alias("code"))
     members = code.withColumn("nth", F.row_number().over(W.partitionBy("code").orderBy("vec_id"))).filter(F.col("nth") <= k + 1)
     points = code.groupBy("code").agg(F.min("vec_id").alias("point"))
     members = stored(members.join(points, "code").select("point", "vec_id"), "ann-members")
-    points = stored(rows.join(points.select(F.col("point").alias("vec_id")), "vec_id", "left_semi").withColumn("width", F.size("embedding")), "ann-points")
-    sizes = points.groupBy("width").agg(F.ceil(F.count("*") / shard).cast("long").alias("shards"))
-    dealt = points.join(sizes, "width").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")))
+    points = rows.join(points.select(F.col("point").alias("vec_id")), "vec_id", "left_semi").withColumn("width", F.size("embedding"))
+    points, sizes = dealt(stored(points, "ann-points"), shard)
+    # As many tasks as there are shards: their work is long, their rows are few.
+    shards = int(sizes.agg(F.sum("shards")).first()[0] or 1)
     graphs = stored(
-        dealt.select("width", "shard", "vec_id", "embedding").groupBy("width", "shard").applyInPandas(
-            _build, "width int, shard long, ids binary, vectors binary, points binary, edges binary, entry int"
+        points.select("width", "shard", "vec_id", "embedding").repartition(min(2 * shards, 20_000), "width", "shard").groupBy("width", "shard").applyInPandas(
+            _build(k, goal), "width int, shard long, ids binary, vectors binary, points binary, edges binary, entry int, beam int"
         ),
         "ann-graphs",
     )
     asking = code.filter(is_query(F.col("vec_id"))).select("code", F.col("vec_id").alias("query_id"))
     first = code.groupBy("code").agg(F.min("vec_id").alias("query"))
     asking = stored(asking.join(first, "code").select("query", "query_id"), "ann-asking")
-    asked = points.join(asking.select(F.col("query").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    asked = points.select("width", "vec_id", "embedding").join(asking.select(F.col("query").alias("vec_id")).distinct(), "vec_id", "left_semi")
     blocks = -(-max(1, asked.count()) // block)
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))).join(sizes, "width")
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
     there = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     keys = ["width", "shard", "block"]
-    met = there.groupBy(*keys).cogroup(asked.select(*keys, "vec_id", "embedding").groupBy(*keys)).applyInPandas(_search(k), "query long, point long, score double")
+    tasks = min(2 * shards * blocks, 20_000)
+    there, asked = there.repartition(tasks, *keys), asked.select(*keys, "vec_id", "embedding").repartition(tasks, *keys)
+    met = there.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_search(k), "query long, point long, score double")
     order = W.partitionBy("query").orderBy(F.desc("score"), "point")
     best = stored(met.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).drop("n"), "ann-found")
     wide = best.join(members, "point").select("query", "vec_id", "score").join(asking, "query").filter("vec_id != query_id")

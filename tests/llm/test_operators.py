@@ -236,6 +236,29 @@ def test_ann(spark):
     assert ann.query(spark, d.filter("vec_id in (0, 301)")).count() == 1
 
 
+@pytest.mark.parametrize("kind", ["clusters", "one norm", "even", "uneven norms"])
+def test_ann_recall_on_hard_vectors(spark, kind):
+    rng = np.random.default_rng(3)
+    n, width = 6_000, 48
+    x = rng.normal(size=(n, width))
+    if kind == "clusters":
+        x = x[rng.integers(40, size=n)] + 0.4 * x
+    elif kind == "one norm":
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+    elif kind == "uneven norms":
+        x *= np.exp(rng.normal(size=(n, 1)))
+    d = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {}
+    for r in ann.query(spark, d).select("query_id", "vec_id").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, n, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (n // 20 * 20) >= 0.95, kind
+
+
 def test_warc(spark):
     rows = [(3, "http://a/", "x" * 10, 1), (1, None, "x" * 10, 1), (2, "http://ü/", None, 1), (5, "u", "", 1), (None, "u", "z", 1), (7, "u", "é" * 3, 1), (7, "u", "é" * 3, 1)]
     p = spark.createDataFrame(rows, "page_id long, url string, html string, size int")
