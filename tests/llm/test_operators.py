@@ -204,13 +204,59 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.query(spark, docs, known.limit(0)).filter("score between 0 and 1").count() == docs.count()
 
 
+def test_toxicity_learns_two_words(spark):
+    rows, labels = [], []
+    for i in range(200):
+        bad = i % 4 == 0
+        rows.append((i, PROSE + ("zork blip " if bad else "blip said zork ") + PROSE + f"w{i}", "en", "a"))
+        labels += [(i, 1, int(bad)), (i, 0, None)]  # repeated labels, null ones
+    d, known = make(spark, rows + [(None, rows[0][1], "en", "a")]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.query(spark, d.unionByName(d), known).collect()  # repeated rows
+    assert len(got) == 402 and all((r["predicted"] == 1) == (r["doc_id"] is None or r["doc_id"] % 4 == 0) for r in got)
+
+
+def brute_clause(grammar, classes, weights):
+    """Each pattern at each place, with the context that the words before its last one make."""
+    out, T = [0.0] * 8, toxicity
+    for k, kind in enumerate((T.INSULT, T.THREAT)):
+        for end in range(len(classes)):
+            before = classes[:end]
+            context = T.REPORTED if T.REPORT in before else T.NEGATED if T.NEGATION in before[-T.NEGATION_SPAN :] else T.AIMED if T.TARGET in before else T.PLAIN
+            last = next((w for w in reversed(weights[: end + 1]) if w), 1.0)
+            for pattern, weight in grammar.patterns[kind]:
+                if end + 1 >= len(pattern) and tuple(classes[end + 1 - len(pattern) : end + 1]) == pattern:
+                    out[4 * k + context] += weight * last
+    if T.TARGET in classes:
+        for k in (0, 4):
+            out[k + T.AIMED], out[k + T.PLAIN] = out[k + T.AIMED] + out[k + T.PLAIN], 0.0
+    return out
+
+
 def test_toxicity_grammar():
     I, O, T, N, R = toxicity.INSULT, toxicity.OTHER, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT
-    assert toxicity.clause_registers([O, I], [0, 1.0]) == [1.0, 0, 0, 0]
-    assert toxicity.clause_registers([I, O, T], [1.0, 0, 0]) == [0, 1.0, 0, 0]
-    assert toxicity.clause_registers([N, O, I], [0, 0, 1.0]) == [0, 0, 1.0, 0]
-    assert toxicity.clause_registers([N, O, O, O, O, I], [0, 0, 0, 0, 0, 1.0]) == [1.0, 0, 0, 0]
-    assert toxicity.clause_registers([R, T, I], [0, 0, 1.0]) == [0, 0, 0, 1.0]
+    g = toxicity.seeded()
+    machine = g.compiled()
+    assert machine.clause([O, I], [0, 1.0])[:4] == [1.0, 0, 0, 0]
+    assert machine.clause([I, O, T], [1.0, 0, 0])[:4] == [0, 1.0, 0, 0]
+    assert machine.clause([N, O, I], [0, 0, 1.0])[:4] == [0, 0, 1.0, 0]
+    assert machine.clause([N, O, O, O, O, I], [0, 0, 0, 0, 0, 1.0])[:4] == [1.0, 0, 0, 0]
+    assert machine.clause([R, O, I], [0, 0, 1.0])[:4] == [0, 0, 0, 1.0]
+    say = lambda text: machine.clause([g.words.get(w, (O, 0.0))[0] for w in text.split()], [g.words.get(w, (O, 0.0))[1] for w in text.split()])
+    assert say("drop dead") == [0, 0, 0, 0, 1.0, 0, 0, 0] and say("drop it dead") == [0] * 8
+    assert say("a waste of waste of space")[0] == 1.0
+    assert say("we will kill them")[5] == 2.0  # the threat, with an intent, with a target
+    g.add(I, ("zork", "zork", "zork"), 2.0)
+    g.add(I, ("zork", "zork", "you"), 3.0)
+    machine, rng = g.compiled(), np.random.default_rng(9)
+    weight = {c: w for c, w in g.words.values()}
+    for _ in range(3000):
+        classes = rng.choice(sorted({0, *weight}), int(rng.integers(0, 12))).tolist()
+        if rng.random() < 0.5:  # a pattern somewhere
+            pattern, _ = g.patterns[(toxicity.INSULT, toxicity.THREAT)[int(rng.integers(2))]][int(rng.integers(7))]
+            at = int(rng.integers(0, len(classes) + 1))
+            classes[at:at] = list(pattern)
+        weights = [weight.get(c, 0.0) * (1 + i % 3) for i, c in enumerate(classes)]
+        assert machine.clause(classes, weights) == pytest.approx(brute_clause(g, classes, weights))
 
 
 def test_ann(spark):
