@@ -203,29 +203,55 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     for i, (rule, q) in enumerate(zip(rules, queries)):
         ask = F.col("bits").bitwiseAND(F.lit(1 << i)) != 0 if q else F.lit(True)
         docs = docs.withColumn(f"all{i}", F.when(ask, F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))).otherwise(none))
-    spans = []
     for i, rule in enumerate(rules):
-        some = F.size(f"all{i}") > 0
-        docs = docs.withColumn(f"between{i}", F.when(some, F.split("text", rule.pattern, -1)).otherwise(none))
-        if rule.group and rule.least:
-            docs = docs.withColumn(f"value{i}", F.when(some, F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group))).otherwise(none))
-    for i, rule in enumerate(rules):
-        kind = "array<struct<start:bigint,rank:int,end:bigint>>"
-        fits = f"length(value{i}[k]) >= {rule.least}" if rule.group and rule.least else "true"
-        # Places follow from the lengths of what lies between the matches.
-        spans.append(
-            F.expr(
-                f"""CASE WHEN size(all{i}) = 0 THEN cast(array() as {kind}) ELSE aggregate(sequence(0, size(all{i}) - 1),
-                named_struct('at', 0L, 'found', cast(array() as {kind})),
-                (a, k) -> named_struct(
-                  'at', a.at + length(between{i}[k]) + length(all{i}[k]),
-                  'found', CASE WHEN {fits} THEN concat(a.found, array(named_struct(
-                    'start', a.at + length(between{i}[k]), 'rank', {i},
-                    'end', a.at + length(between{i}[k]) + length(all{i}[k])))) ELSE a.found END),
-                a -> a.found) END"""
-            )
-        )
-    return docs.select("doc_id", "text", F.array_sort(F.concat(*spans)).alias("found"))
+        docs = docs.withColumn(f"parts{i}", F.when(F.size(f"all{i}") > 0, _parts(i, rule)))
+    found = F.concat(*(_spans(i) for i in range(len(rules))))
+    return docs.select("doc_id", "text", F.array_sort(found).alias("found"))
+
+
+def _parts(i: int, rule: Rule) -> Column:
+    """For each match of a rule: the length of what lies before it (after the match before), its own, and whether it is long enough."""
+    between = F.slice(F.split("text", rule.pattern, -1), F.lit(1), F.size(f"all{i}"))
+    if not (rule.group and rule.least):
+        return F.zip_with(between, f"all{i}", lambda gap, m: F.struct(F.length(gap).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), F.lit(True).alias("fits")))
+    parts = F.zip_with(between, f"all{i}", lambda gap, m: F.struct(F.length(gap).cast("long").alias("gap"), F.length(m).cast("long").alias("size")))
+    value = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group))
+    return F.zip_with(parts, value, lambda x, v: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), (F.length(v) >= rule.least).alias("fits")))
+
+
+def _spans(i: int) -> Column:
+    """The spans of a rule's matches: places follow from the lengths of the matches and of what lies between them."""
+    at = running(F.transform(f"parts{i}", lambda x: x["gap"] + x["size"]), lambda a, x: a + x)
+    span = lambda x, a: F.struct((a + x["gap"]).alias("start"), F.lit(i).alias("rank"), (a + x["gap"] + x["size"]).alias("end"))
+    found = F.array_compact(F.zip_with(f"parts{i}", at, lambda x, a: F.when(x["fits"], span(x, a))))
+    return F.coalesce(found, F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>"))
+
+
+#: Elements that one step of a running fold takes: arrays that grow by one element are copied, so that they stay short.
+STEP = 128
+
+
+def let(x: Column, use) -> Column:
+    """use(x), with x evaluated once, however often it stands in there."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
+def chunks(xs: Column) -> Column:
+    """The array in pieces of STEP elements; null where it is null or empty."""
+    return let(xs, lambda v: F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STEP).cast("int")), lambda c: F.slice(v, c * STEP + 1, F.lit(STEP)))))
+
+
+def running(xs: Column, fold) -> Column:
+    """For each element the fold of 0 and all elements before it (numbers; an associative fold with 0 as its start)."""
+    zero = F.lit(0).cast("long")
+    grow = lambda a, x: F.concat(a, F.array(fold(F.element_at(a, -1), x)))
+    within = lambda c, b: F.slice(F.aggregate(c, F.array(b), grow), F.lit(1), F.size(c))
+
+    def over(v: Column) -> Column:
+        before = F.aggregate(F.transform(v, lambda c: F.aggregate(c, zero, fold)), F.array(zero), grow)
+        return F.flatten(F.zip_with(v, F.slice(before, F.lit(1), F.size(v)), within))
+
+    return let(chunks(xs), over)
 
 
 def joined_spans(found: Column, rules: list[Rule]) -> Column:
@@ -253,13 +279,21 @@ def masked(docs: DataFrame, rules: list[Rule] = RULES, mask: str = "[SECRET]") -
 
 
 def _mask(mask: str) -> Column:
-    step = f"""CASE WHEN size(found) = 0 THEN text ELSE aggregate(found,
-      named_struct('at', 0L, 'out', ''),
-      (a, x) -> CASE WHEN x.start >= a.at
-        THEN named_struct('at', x.end, 'out', concat(a.out, substring(text, cast(a.at + 1 as int), cast(x.start - a.at as int)), '{mask}'))
-        ELSE named_struct('at', greatest(a.at, x.end), 'out', a.out) END,
-      a -> concat(a.out, substring(text, cast(a.at + 1 as int), 2147483647))) END"""
-    return F.expr(step)
+    found = F.col("found")
+    # The largest end before each span: where that lies beyond its start, the span belongs to the stretch before.
+    last = running(F.transform(found, lambda x: x["end"]), lambda a, x: F.greatest(a, x))
+    gaps = F.zip_with(found, last, lambda x, m: F.struct(m.alias("from"), x["start"].alias("to")))
+    gaps = F.filter(gaps, lambda g: g["to"] >= g["from"])
+    cut = lambda text, at, n: F.substring(text, (at + 1).cast("int"), n.cast("int"))
+
+    def piece(c: Column) -> Column:  # of the text, cut out once for all its gaps
+        base = c[0]["from"]
+        own = F.array(cut(F.col("text"), base, F.element_at(c, -1)["to"] - base))
+        return F.array_join(F.flatten(F.transform(own, lambda t: F.transform(c, lambda g: F.concat(cut(t, g["from"] - base, g["to"] - g["from"]), F.lit(mask))))), "")
+
+    rest = F.array_max(F.transform(found, lambda x: x["end"]))
+    whole = F.concat(F.array_join(F.transform(chunks(gaps), piece), ""), cut(F.col("text"), rest, F.length("text") - rest))
+    return F.when(F.size(found) > 0, whole).otherwise(F.col("text"))
 
 
 def mask_documents(documents: DataFrame, rules: list[Rule] = RULES, mask: str = "[SECRET]") -> DataFrame:

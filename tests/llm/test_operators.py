@@ -81,6 +81,29 @@ def test_secrets(spark, docs, empty):
     assert masked[9]["n_chars"] == len(masked[9]["text"]) and masked[4]["text"] is None and masked[1]["text"] == PROSE * 4
 
 
+def test_secrets_of_a_text_with_many(spark):
+    import time
+
+    rng = np.random.default_rng(7)
+    bits = [f"é{'x' * int(rng.integers(0, 9))} token={'k' * int(rng.integers(6, 12))} AKIA{'A' * 14}token={'q' * 9}" for _ in range(8_000)]
+    d = make(spark, [(1, " ".join(bits), "en", "a"), (2, "token=abcdefghij", "en", "a"), (3, "AKIA" + "A" * 16 + "=", "en", "a")])
+    t = time.time()
+    rows = {r["doc_id"]: r for r in secrets.query(spark, d).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_documents(d).collect()}
+    assert time.time() - t < 60
+    for r in d.collect():
+        counts, code = brute_secrets(r["text"])
+        got = rows[r["doc_id"]]
+        assert ([got["n_assign"], got["n_access"], got["n_hex"]], got["base_sha256"]) == (counts, code)
+        spans = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in got["spans"].split(",")))
+        out, at = [], 0
+        for a, b in spans:
+            if a >= at:
+                out += [r["text"][at:a], "[SECRET]"]
+            at = max(at, b)
+        assert masked[r["doc_id"]] == "".join(out) + r["text"][at:]
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{32,}") == []
     assert secrets.trigram_query("AKIA[A-Z0-9]{12,}") == [[frozenset({"aki", "kia"})]]
