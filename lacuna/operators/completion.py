@@ -4,32 +4,61 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lacuna.catalog import Path, Relationship
 from lacuna.functions.scalars import uniform
 from lacuna.operators import relational as R
 from lacuna.operators.models import CountModel, sample_columns
 from lacuna.operators.tuple_factors import CURRENT, add_current_tf
+from lacuna.sources.scratch import stored
 
 SYNTHETIC = "__synthetic"
 
 
+def folded(c: Column) -> Column:
+    """A whole number as one that isn't negative: 0, -1, 1, -2, 2 ... are 0, 1, 2, 3, 4 ..."""
+    return F.when(c > 0, 2 * (c - 1) + 1).otherwise(-2 * c)
+
+
+#: Bits of a key that tell apart rows of one hash.
+TIE_BITS = 8
+
+
+def synthetic_keys(df: DataFrame, name: str, of: str, nth: str | None = None) -> DataFrame:
+    """df (stored) with a negative key, unique for each (of, nth): the pairing -(folded(of) * most + nth) - 1 where that
+    stays within 63 bits for all rows, else a hash of 54 bits and the row's rank among those of its hash. Null `of` is
+    not allowed. The same rows have the same keys, however they are partitioned."""
+    key = F.col(of).cast("long")
+    second = F.col(nth).cast("long") if nth else F.lit(0).cast("long")
+    low, high, most = df.agg(F.min(key), F.max(key), F.max(second)).first()
+    most = int(most or 0) + 1
+    if max(2 * int(high or 0), -2 * int(low or 0)) + 2 <= (1 << 62) // most:
+        return df.withColumn(name, -(folded(key) * F.lit(most) + second) - 1)
+    code = F.shiftrightunsigned(F.xxhash64(key, second), TIE_BITS + 2)
+    rank = F.row_number().over(W.partitionBy("__code").orderBy(key, second)) - 1
+    rank = F.when(rank < (1 << TIE_BITS), rank.cast("long")).otherwise(F.raise_error(F.lit("more rows of one hash than keys")))
+    return df.withColumn("__code", code).withColumn(name, -(F.shiftleft("__code", TIE_BITS) + rank) - 1).drop("__code")
+
+
 def missing_children(parents: DataFrame, children: DataFrame, r: Relationship, train: DataFrame, evidence: list[str], seed: int = 0, support: int = 20, normalize: bool = True) -> DataFrame:
-    """parents with __current_tf, __expected (known tuple factor, else a draw weighed by 1 / tf) and __missing."""
+    """parents (stored) with __current_tf, __expected (known tuple factor, else a draw weighed by 1 / tf, by 1 below 1) and __missing."""
     p = add_current_tf(parents, children, r)
-    known = train.filter(F.col(r.tf).isNotNull())
-    inverse = F.when(F.col("__value") >= 1, 1 / F.col("__value")).when(F.col("__value") == 0, 1.0).otherwise(0.0)
-    p = CountModel.fit(known, r.tf, evidence, support, weight=inverse).sample(p, uniform(seed, r.tf, F.col(r.pk)), "__drawn")
-    p = p.withColumn("__expected", F.coalesce(F.col(r.tf), F.col("__drawn"), F.lit(0))).drop("__drawn")
-    p = p.withColumn("__short", F.greatest(F.lit(0), F.col("__expected") - F.col(CURRENT)).cast("double"))
+    if parents.filter(F.col(r.tf).isNull()).isEmpty():
+        p = p.withColumn("__expected", F.coalesce(F.col(r.tf), F.lit(0)))
+    else:
+        known = train.filter(F.col(r.tf) >= 0)
+        inverse = F.when(F.col("__value") >= 1, 1 / F.col("__value")).otherwise(1.0)
+        p = CountModel.fit(known, r.tf, evidence, support, weight=inverse).sample(p, uniform(seed, r.tf, F.col(r.pk)), "__drawn")
+        p = p.withColumn("__expected", F.coalesce(F.col(r.tf), F.col("__drawn"), F.lit(0))).drop("__drawn")
+    p = stored(p.withColumn("__short", F.greatest(F.lit(0), F.col("__expected") - F.col(CURRENT)).cast("double")), "complete-parents")
+    scale = 1.0
     if normalize:
-        mean = p.agg(F.avg("__expected").alias("__e"), F.avg(CURRENT).alias("__c"), F.avg("__short").alias("__m"))
-        p = p.crossJoin(F.broadcast(mean))
-        scale = F.when((F.col("__m") > 0) & (F.col("__e") > F.col("__c")), (F.col("__e") - F.col("__c")) / F.col("__m")).otherwise(1.0)
-        p = p.withColumn("__short", F.col("__short") * scale).drop("__e", "__c", "__m")
-    return p.withColumn("__missing", F.floor(F.col("__short") + 1e-9).cast("int")).drop("__short")
+        e, c, m = (float(x or 0) for x in p.agg(F.avg("__expected"), F.avg(CURRENT), F.avg("__short")).first())
+        scale = (e - c) / m if m > 0 and e > c else 1.0
+    return p.withColumn("__missing", F.floor(F.col("__short") * F.lit(scale) + 1e-9).cast("int")).drop("__short")
 
 
 def join_1n(parents: DataFrame, children: DataFrame, r: Relationship, train_parents: DataFrame, child_key: str, columns: list[str], evidence: list[str], seed: int = 0, support: int = 20) -> DataFrame:
@@ -42,10 +71,8 @@ def join_1n(parents: DataFrame, children: DataFrame, r: Relationship, train_pare
     existing = R.join(p.drop("__missing", "__expected", CURRENT), children, r).withColumn(SYNTHETIC, F.lit(False))
     lack = p.filter("__missing >= 1").withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__missing"))))
     lack = lack.withColumn("__draw", F.concat_ws("#", F.col(r.pk).cast("string"), F.col("__nth").cast("string")))
-    # Negative and unique: parents by a dense 44-bit hash would collide, so the key is a pairing of parent and place.
-    lack = lack.withColumn(child_key, -(F.abs(F.col(r.pk).cast("long")) * 1_000_003 + F.col("__nth")).cast("long"))
-    train = R.join(train_parents, children, r)
-    made = sample_columns(lack, train, columns, evidence, "__draw", seed, support)
+    lack = synthetic_keys(lack, child_key, r.pk, "__nth")
+    made = sample_columns(lack, R.join(train_parents, children, r), columns, evidence, "__draw", seed, support)
     made = made.withColumn(r.fk, F.col(r.pk)).drop("__missing", "__expected", "__nth", "__draw", CURRENT).withColumn(SYNTHETIC, F.lit(True))
     return R.concat(existing, made)
 
@@ -54,13 +81,13 @@ def join_n1(children: DataFrame, parents: DataFrame, r: Relationship, child_key:
     """Child to parent: children with their parent, and a synthesized parent (negative key, tuple factor >= 1) for those without a link."""
     children = R.weighted(children)
     existing = R.join(children, parents, r).withColumn(SYNTHETIC, F.lit(False))
-    alone = children.filter(F.col(r.fk).isNull())
+    alone = stored(children.filter(F.col(r.fk).isNull()), "complete-alone")
     train = R.join(children, parents, r)
     made = sample_columns(alone, train, columns, evidence, child_key, seed, support)
     if r.tf in parents.columns and r.tf not in columns:
         positive = train.filter(F.col(r.tf) >= 1)
         made = CountModel.fit(positive, r.tf, evidence, support).sample(made, uniform(seed, r.tf, F.col(child_key)))
-    made = made.withColumn(r.pk, -(F.abs(F.col(child_key).cast("long")) + 1)).withColumn(SYNTHETIC, F.lit(True))
+    made = synthetic_keys(made, r.pk, child_key).withColumn(SYNTHETIC, F.lit(True))
     return R.concat(existing, made)
 
 
@@ -123,7 +150,6 @@ def replace_nearest(synthetic: DataFrame, existing: DataFrame, key: str, feature
 def replace_lsh(synthetic: DataFrame, existing: DataFrame, key: str, vector: str, k: int = 20, length: float = 2.0, tables: int = 3, radius: float = 10.0) -> DataFrame:
     """(existing key, synthetic key, distance): up to k near synthetic rows of each existing one, by random projections."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.sql import Window as W
 
     lsh = BucketedRandomProjectionLSH(inputCol=vector, outputCol="__h", bucketLength=length, numHashTables=tables, seed=1).fit(existing)
     met = lsh.approxSimilarityJoin(existing, synthetic, radius, "d")

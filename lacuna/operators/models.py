@@ -1,8 +1,10 @@
 """Conditional models by counts with back-off, and sampling by inverse distribution functions.
 
-p(column | context) is a table (context, value, lo, hi): the interval of the cumulative probability, smoothed by
-Laplace. Contexts back off from all their columns to none: a context with less than `support` rows isn't used. A draw
-is a hash number u and an equi-join on the context with lo <= u < hi; nothing is collected.
+p(column | context) is a table of contexts with an array of (hi, value): the cumulative probability up to each value. A
+model reads its training rows once: the counts of the full context are stored, and those of shorter contexts are sums
+of them. Contexts back off from all their columns to none: a context with less than `support` rows isn't used. A draw
+is a hash number u, an equi-join on the context (by broadcast where the model is small) and the first value with
+u < hi; nothing is collected. A modelled column has no more values than the profile's cap, which bounds the arrays.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lacuna.functions import scalars
 from lacuna.functions.scalars import uniform
+from lacuna.sources.scratch import SMALL, stored
 
 
 def domain(df: DataFrame, column: str) -> DataFrame:
@@ -36,58 +40,103 @@ def decode(df: DataFrame, column: str, dom: DataFrame) -> DataFrame:
 
 @dataclass
 class CountModel:
-    """p(column | parents), with back-off over shorter and shorter lists of parents."""
+    """p(column | parents), with back-off over shorter and shorter lists of parents. rows: of the finest counts."""
 
     column: str
     levels: list[tuple[list[str], DataFrame]]
+    rows: int
 
     @classmethod
     def fit(cls, df: DataFrame, column: str, parents: list[str], support: int = 20, smooth: float = 0.0, weight: Column | None = None) -> CountModel:
         """weight: multiplies the count of a value (as 1 / tf for tuple factors)."""
-        levels = []
+        full = df.filter(F.col(column).isNotNull()).groupBy(*[F.col(p).alias(f"__{p}") for p in parents], F.col(column).alias("__value")).agg(F.count("*").alias("__n"))
+        full, levels = stored(full, f"model-{column}"), []
         for k in range(len(parents), -1, -1):
-            own = parents[:k]
-            n = df.groupBy(*[F.col(p).alias(f"__{p}") for p in own], F.col(column).alias("__value")).agg(F.count("*").alias("__n"))
-            n = n.filter(F.col("__value").isNotNull())
-            keys = [f"__{p}" for p in own] or [F.lit(1)]
-            w = W.partitionBy(*keys)
+            own = [f"__{p}" for p in parents[:k]]
+            n = full if k == len(parents) else full.groupBy(*own, "__value").agg(F.sum("__n").alias("__n"))
+            w = W.partitionBy(*(own or [F.lit(1)]))
             mass = (F.col("__n") + F.lit(smooth)) * (F.lit(1.0) if weight is None else weight)
             n = n.withColumn("__rows", F.sum("__n").over(w)).withColumn("__m", mass)
-            # A model without any mass in a context falls back to its counts.
+            # A context without any mass falls back to its counts.
             n = n.withColumn("__m", F.when(F.sum("__m").over(w) > 0, F.col("__m")).otherwise(F.col("__n")))
             up = F.sum("__m").over(w.orderBy("__value").rowsBetween(W.unboundedPreceding, 0)) / F.sum("__m").over(w)
-            n = n.withColumn("__hi", up).withColumn("__lo", F.coalesce(F.lag("__hi").over(w.orderBy("__value")), F.lit(0.0)))
-            levels.append((own, n.filter(F.col("__rows") >= (support if k else 1)).select(*[f"__{p}" for p in own], "__value", "__lo", "__hi")))
-        return cls(column, levels)
+            n = n.withColumn("__hi", up).filter(F.col("__rows") >= (support if k else 1))
+            levels.append((parents[:k], n.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct(F.col("__hi").alias("hi"), F.col("__value").alias("value")))).alias("__cdf"))))
+        return cls(column, levels, full.count())
+
+    def _masses(self, cdf: str = "__cdf") -> Column:
+        """An array of (value, p) in the order of the values."""
+        low = lambda i: F.when(i == 0, F.lit(0.0)).otherwise(F.get(cdf, i - 1)["hi"])
+        return F.transform(cdf, lambda x, i: F.struct(x["value"].alias("value"), (x["hi"] - low(i)).alias("p")))
 
     def probabilities(self) -> DataFrame:
         """(parents..., value, p) of the full context."""
         own, t = self.levels[0]
-        return t.select(*[F.col(f"__{p}").alias(p) for p in own], F.col("__value").alias("value"), (F.col("__hi") - F.col("__lo")).alias("p"))
+        return t.select(*[F.col(f"__{p}").alias(p) for p in own], F.inline(self._masses()))
+
+    def bounded(self, value, quantile: float, strength: float) -> CountModel:
+        """The model whose probability of a value is mixed with its `quantile` of belief (above 0.5: up to 1, below: down
+        to 0); the other values share the rest. Weight 1 - strength goes to the belief, the rest to what was learned."""
+        prior = self.levels[-1][1].select(self._masses().alias("__prior"))
+        levels = []
+        for own, t in self.levels:
+            t = t.crossJoin(F.broadcast(prior))  # one row of the column's values
+            known = F.map_from_entries(self._masses())
+            others = F.greatest(F.size("__prior") - 1, F.lit(1))
+            of = F.element_at(F.filter("__prior", lambda x: x["value"] == value), 1)["p"]
+            t = t.withColumn("__known", known).withColumn("__of", F.coalesce(of, F.lit(0.0))).withColumn("__others", others)
+            mix = lambda x: scalars.percentile_mix(F.coalesce(F.try_element_at("__known", x["value"]), F.lit(0.0)), F.col("__of"), x["value"] == value, F.lit(quantile), F.lit(strength), F.col("__others"))
+            p = F.transform("__prior", lambda x: F.struct(x["value"].alias("value"), mix(x).alias("p")))
+            t = t.withColumn("__p", p).withColumn("__sum", F.aggregate("__p", F.lit(0.0), lambda a, x: a + x["p"]))
+            up = lambda i: F.aggregate(F.slice("__p", F.lit(1), i + 1), F.lit(0.0), lambda a, x: a + x["p"]) / F.col("__sum")
+            cdf = F.transform("__p", lambda x, i: F.struct(up(i).alias("hi"), x["value"].alias("value")))
+            levels.append((own, t.select(*[f"__{p}" for p in own], cdf.alias("__cdf"))))
+        return CountModel(self.column, levels, self.rows)
+
+    def without(self, value) -> CountModel:
+        """The model in which a value (as the code of null) has no probability; a context that has only it is left out."""
+        levels = []
+        for own, t in self.levels:
+            t = t.withColumn("__p", F.filter(self._masses(), lambda x: x["value"] != value))
+            t = t.withColumn("__sum", F.aggregate("__p", F.lit(0.0), lambda a, x: a + x["p"])).filter("__sum > 0")
+            up = lambda i: F.aggregate(F.slice("__p", F.lit(1), i + 1), F.lit(0.0), lambda a, x: a + x["p"]) / F.col("__sum")
+            cdf = F.transform("__p", lambda x, i: F.struct(up(i).alias("hi"), x["value"].alias("value")))
+            levels.append((own, t.select(*[f"__{p}" for p in own], cdf.alias("__cdf"))))
+        return CountModel(self.column, levels, self.rows)
 
     def sample(self, df: DataFrame, u: Column, name: str | None = None) -> DataFrame:
         """The column drawn for each row of df by its u in (0, 1)."""
         name = name or self.column
         df = df.drop(name).withColumn("__u", u)
         for i, (own, t) in enumerate(self.levels):
-            # Narrowed first by the context, an equi-join; within it one interval holds u.
-            cond = (F.col("__u") >= F.col("__lo")) & ((F.col("__u") < F.col("__hi")) | (F.col("__hi") >= 1 - 1e-12))
-            for p in own:
-                cond = cond & (F.col(p) == F.col(f"__{p}"))
+            t = t.withColumnRenamed("__cdf", f"__cdf{i}")
             if own:
-                df = df.join(t, cond, "left")
-            else:  # the marginal is one row a distinct value, an array beside each row
-                cdf = t.agg(F.array_sort(F.collect_list(F.struct("__lo", "__hi", "__value"))).alias("__cdf"))
-                df = df.crossJoin(F.broadcast(cdf))
-                hit = F.filter("__cdf", lambda x: (F.col("__u") >= x["__lo"]) & ((F.col("__u") < x["__hi"]) | (x["__hi"] >= 1 - 1e-12)))
-                df = df.withColumn("__value", F.get(hit, F.lit(0))["__value"]).drop("__cdf")
-            df = df.withColumn(f"__try{i}", F.col("__value")).drop("__value", "__lo", "__hi", *[f"__{p}" for p in own])
-        tries = [f"__try{i}" for i in range(len(self.levels))]
-        return df.withColumn(name, F.coalesce(*tries)).drop("__u", *tries)
+                on = [F.col(p) == F.col(f"__{p}") for p in own]
+                df = df.join(F.broadcast(t) if self.rows <= SMALL else t, on, "left").drop(*[f"__{p}" for p in own])
+            else:
+                df = df.join(F.broadcast(t), F.lit(True), "left")  # one row, as long as the column has values
+        cdf = F.coalesce(*[f"__cdf{i}" for i in range(len(self.levels))])
+        hit = F.filter(cdf, lambda x: (F.col("__u") < x["hi"]) | (x["hi"] >= 1 - 1e-12))
+        return df.withColumn(name, F.get(hit, F.lit(0))["value"]).drop("__u", *[f"__cdf{i}" for i in range(len(self.levels))])
+
+    def save(self, path: str) -> None:
+        """One folder a level, and the names."""
+        for i, (_, t) in enumerate(self.levels):
+            t.write.mode("overwrite").parquet(f"{path}/level{i}")
+        names = [(self.column, self.rows, [own for own, _ in self.levels])]
+        self.levels[0][1].sparkSession.createDataFrame(names, "column string, rows long, levels array<array<string>>").coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
+
+    @classmethod
+    def load(cls, spark, path: str) -> CountModel:
+        names = spark.read.parquet(f"{path}/names").first()
+        return cls(names["column"], [(list(own), spark.read.parquet(f"{path}/level{i}")) for i, own in enumerate(names["levels"])], names["rows"])
 
 
 def sample_columns(df: DataFrame, train: DataFrame, columns: list[str], evidence: list[str], key: str, seed: int = 0, support: int = 20, most_parents: int = 2) -> DataFrame:
     """Columns drawn one after the other, each given evidence and the last drawn ones."""
+    if not columns:
+        return df
+    train = stored(train.select(*dict.fromkeys([*evidence, *columns])), "model-train")
     parents = list(evidence)
     for c in columns:
         model = CountModel.fit(train, c, parents[-most_parents:] if most_parents else [], support)

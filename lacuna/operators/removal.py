@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.catalog import Relationship, SchemaGraph
 from lacuna.functions.scalars import uniform
 from lacuna.operators import relational as R
-
-
-def _first(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
-    """The keys of the n rows that come first: a sort with a limit, of which each task keeps its own first n."""
-    return df.orderBy(*order, key).limit(n).select(key)
+from lacuna.sources.scratch import stored
+
+
+def _first(df: DataFrame, key: str, order: Column, rate: float) -> DataFrame:
+    """The keys of the int(rate * rows) rows that come first by (order, key); order is a number.
+
+    Rows surely below the cut are taken by a comparison; only those around it, between two approximate quantiles that
+    counts confirm, are sorted.
+    """
+    rows = stored(df.select(key, order.cast("double").alias("__o")), "removal-order")
+    total = rows.count()
+    n, near = int(rate * total), 2e-4
+    if n <= 0 or n >= total:
+        return rows.filter(F.lit(n > 0)).select(key)
+    while True:
+        at = [max(0.0, n / total - near), min(1.0, n / total + near)]
+        low, high = rows.agg(F.percentile_approx("__o", F.array(*map(F.lit, at)), F.lit(20_000)).alias("q")).first()["q"]
+        low, high = F.lit(float("-inf") if at[0] == 0 else low), F.lit(float("inf") if at[1] == 1 else high)
+        below, up_to = rows.agg(F.count_if(F.col("__o") < low), F.count_if(F.col("__o") <= high)).first()
+        if below <= n <= up_to:
+            break
+        near *= 8
+    around = rows.filter((F.col("__o") >= low) & (F.col("__o") <= high)).orderBy("__o", key).limit(n - below)
+    return rows.filter(F.col("__o") < low).select(key).unionByName(around.select(key))
 
 
 def uniform_keys(df: DataFrame, key: str, rate: float, seed: int = 0) -> DataFrame:
-    return _first(df, key, [uniform(seed, "keep", F.col(key))], int(rate * df.count()))
+    return _first(df, key, uniform(seed, "keep", F.col(key)), rate)
 
 
 def bias_weights(df: DataFrame, key: str, attribute: str, rho: float, seed: int = 0) -> DataFrame:
@@ -39,8 +58,8 @@ def bias_keys(df: DataFrame, key: str, attribute: str, rate: float, rho: float,
         gone = bias_keys(df, key, attribute, 1 - rate, -rho, seed)
         return R.not_in_keys(df.select(key), key, gone)
     v = bias_weights(df, key, attribute, rho, seed)
-    order = F.when(F.col("v") > 0, F.ln(uniform(seed, "keep", F.col(key))) / F.col("v")).otherwise(F.lit(float("-inf")))
-    some = _first(v, key, [order.desc()], int(rate * v.count()))
+    order = F.when(F.col("v") > 0, -F.ln(uniform(seed, "keep", F.col(key))) / F.col("v")).otherwise(F.lit(float("inf")))
+    some = _first(v, key, order, rate)
     none = df.filter(F.col(attribute).isNull())
     return some.unionByName(uniform_keys(none, key, rate, seed))
 
@@ -57,8 +76,8 @@ def categorical_keys(df: DataFrame, key: str, attribute: str, values: list, rate
 
 def known_tf_keys(df: DataFrame, key: str, attribute: str | None, rate: float, seed: int = 0) -> DataFrame:
     """Parents whose tuple factor stays known; those without the removal attribute lose it first."""
-    first = [F.col(attribute).isNull().cast("int")] if attribute else []
-    return _first(df, key, [*first, uniform(seed, "tf", F.col(key))], int(rate * df.count()))
+    later = F.col(attribute).isNull().cast("double") if attribute else F.lit(0.0)  # a draw is below 1
+    return _first(df, key, later + uniform(seed, "tf", F.col(key)), rate)
 
 
 def remove(graph: SchemaGraph, frames: dict[str, DataFrame], table: str, kept: DataFrame, cascade: bool = True) -> dict[str, DataFrame]:
