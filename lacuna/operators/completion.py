@@ -45,15 +45,15 @@ def synthetic_keys(df: DataFrame, name: str, of: str, nth: str | None = None) ->
 
 def missing_children(parents: DataFrame, children: DataFrame, r: Relationship, train: DataFrame, evidence: list[str], seed: int = 0, support: int = 20, normalize: bool = True) -> DataFrame:
     """parents (stored) with __current_tf, __expected (known tuple factor, else a draw weighed by 1 / tf, by 1 below 1) and __missing."""
-    p = add_current_tf(parents, children, r)
-    if parents.filter(F.col(r.tf).isNull()).isEmpty():
-        p = p.withColumn("__expected", F.coalesce(F.col(r.tf), F.lit(0)))
+    p = stored(add_current_tf(parents, children, r), "complete-current")
+    if p.filter(F.col(r.tf).isNull()).isEmpty():
+        p = p.withColumn("__expected", F.col(r.tf))
     else:
         known = train.filter(F.col(r.tf) >= 0)
         inverse = F.when(F.col("__value") >= 1, 1 / F.col("__value")).otherwise(1.0)
         p = CountModel.fit(known, r.tf, evidence, support, weight=inverse).sample(p, uniform(seed, r.tf, F.col(r.pk)), "__drawn")
-        p = p.withColumn("__expected", F.coalesce(F.col(r.tf), F.col("__drawn"), F.lit(0))).drop("__drawn")
-    p = stored(p.withColumn("__short", F.greatest(F.lit(0), F.col("__expected") - F.col(CURRENT)).cast("double")), "complete-parents")
+        p = stored(p.withColumn("__expected", F.coalesce(F.col(r.tf), F.col("__drawn"), F.lit(0))).drop("__drawn"), "complete-expected")
+    p = p.withColumn("__short", F.greatest(F.lit(0), F.col("__expected") - F.col(CURRENT)).cast("double"))
     scale = 1.0
     if normalize:
         e, c, m = (float(x or 0) for x in p.agg(F.avg("__expected"), F.avg(CURRENT), F.avg("__short")).first())
@@ -64,31 +64,30 @@ def missing_children(parents: DataFrame, children: DataFrame, r: Relationship, t
 def join_1n(parents: DataFrame, children: DataFrame, r: Relationship, train_parents: DataFrame, child_key: str, columns: list[str], evidence: list[str], seed: int = 0, support: int = 20) -> DataFrame:
     """Parent to children: the existing children of the parents, and for each parent as many synthesized ones as it lacks.
 
-    Synthesized rows have a negative child key, unique by (parent, nth child); other foreign keys stay null.
+    Synthesized rows have a negative child key, unique by (parent, nth child); other foreign keys stay null. Models
+    learn from train_parents and their children: the existing rows, where these are the parents themselves.
     """
-    parents = R.weighted(parents)
-    p = missing_children(parents, children, r, train_parents, evidence, seed, support)
-    existing = R.join(p.drop("__missing", "__expected", CURRENT), children, r).withColumn(SYNTHETIC, F.lit(False))
+    same, parents = train_parents is parents, R.weighted(parents)
+    existing = stored(R.join(parents, children, r), "complete-existing")
+    p = missing_children(parents, existing.select(r.fk), r, parents if same else train_parents, evidence, seed, support)
     lack = p.filter("__missing >= 1").withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__missing"))))
     lack = lack.withColumn("__draw", F.concat_ws("#", F.col(r.pk).cast("string"), F.col("__nth").cast("string")))
     lack = synthetic_keys(lack, child_key, r.pk, "__nth")
-    made = sample_columns(lack, R.join(train_parents, children, r), columns, evidence, "__draw", seed, support)
+    made = sample_columns(lack, existing if same else R.join(train_parents, children, r), columns, evidence, "__draw", seed, support)
     made = made.withColumn(r.fk, F.col(r.pk)).drop("__missing", "__expected", "__nth", "__draw", CURRENT).withColumn(SYNTHETIC, F.lit(True))
-    return R.concat(existing, made)
+    return R.concat(existing.withColumn(SYNTHETIC, F.lit(False)), made)
 
 
 def join_n1(children: DataFrame, parents: DataFrame, r: Relationship, child_key: str, columns: list[str], evidence: list[str], seed: int = 0, support: int = 20) -> DataFrame:
     """Child to parent: children with their parent, and a synthesized parent (negative key, tuple factor >= 1) for those without a link."""
     children = R.weighted(children)
-    existing = R.join(children, parents, r).withColumn(SYNTHETIC, F.lit(False))
-    alone = stored(children.filter(F.col(r.fk).isNull()), "complete-alone")
-    train = R.join(children, parents, r)
-    made = sample_columns(alone, train, columns, evidence, child_key, seed, support)
+    existing = stored(R.join(children, parents, r), "complete-existing")
+    made = sample_columns(children.filter(F.col(r.fk).isNull()), existing, columns, evidence, child_key, seed, support)
     if r.tf in parents.columns and r.tf not in columns:
-        positive = train.filter(F.col(r.tf) >= 1)
+        positive = existing.filter(F.col(r.tf) >= 1)
         made = CountModel.fit(positive, r.tf, evidence, support).sample(made, uniform(seed, r.tf, F.col(child_key)))
-    made = synthetic_keys(made, r.pk, child_key).withColumn(SYNTHETIC, F.lit(True))
-    return R.concat(existing, made)
+    made = synthetic_keys(stored(made, "complete-made"), r.pk, child_key).withColumn(SYNTHETIC, F.lit(True))
+    return R.concat(existing.withColumn(SYNTHETIC, F.lit(False)), made)
 
 
 def project_requested(df: DataFrame, path: Path, columns: list[str]) -> DataFrame:

@@ -136,7 +136,6 @@ def sample_columns(df: DataFrame, train: DataFrame, columns: list[str], evidence
     """Columns drawn one after the other, each given evidence and the last drawn ones."""
     if not columns:
         return df
-    train = stored(train.select(*dict.fromkeys([*evidence, *columns])), "model-train")
     parents = list(evidence)
     for c in columns:
         model = CountModel.fit(train, c, parents[-most_parents:] if most_parents else [], support)

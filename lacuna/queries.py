@@ -11,6 +11,7 @@ from lacuna.functions import scalars as S
 from lacuna.functions.scalars import uniform, uniform_sql
 from lacuna.operators import aqp, completion, etl, models, relational as R, removal, tuple_factors as TF
 from lacuna.plans import planner
+from lacuna.sources.scratch import stored
 from lacuna.streaming import events as streaming
 
 GRAPH = catalog.tpch_like()
@@ -44,7 +45,7 @@ def completed_lineitems(spark, d):
     """Flagship: lineitems are removed by hash, completed from orders with known tuple factors, and counted by status."""
     orders, items = read(spark, d, "orders"), surrogate(read(spark, d, "lineitem"))
     r = REL["lineitem_orders"]
-    orders = TF.add_tf(orders, items, r)
+    orders = stored(TF.add_tf(orders, items.select("l_orderkey"), r), "orders")
     kept = items.filter(uniform(3, "keep", F.col("l_id")) < 0.5)
     done = completion.join_1n(orders, kept, r, orders, "l_id", ["l_returnflag"], ["o_orderstatus"], seed=3)
     n = done.groupBy("o_orderstatus").agg(F.sum(R.WEIGHT).cast("long").alias("expected"))
