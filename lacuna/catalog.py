@@ -95,6 +95,19 @@ class SchemaGraph:
                         queue.append((more, (*steps, r)))
         return found
 
+    def topological(self) -> list[str]:
+        """Tables in an order in which parents come before their children."""
+        from graphlib import TopologicalSorter
+
+        return list(TopologicalSorter({t: {r.parent for r in self.relationships if r.child == t and r.parent != t} for t in self.names}).static_order())
+
+    def renamed(self, names: dict[str, str]) -> SchemaGraph:
+        """A copy in which tables have other names."""
+        new = lambda t: names.get(t, t)
+        tables = {new(n): replace(t, name=new(n)) for n, t in self.tables.items()}
+        links = tuple(replace(r, child=new(r.child), parent=new(r.parent)) for r in self.relationships)
+        return SchemaGraph(tables, links, frozenset(map(new, self.complete)))
+
     @cached_property
     def names(self) -> list[str]:
         return sorted(self.tables)

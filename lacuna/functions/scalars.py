@@ -59,3 +59,21 @@ def percentile_mix(p: Column, prior: Column, is_value: Column, q: Column, s: Col
 def discretize(c: Column, low: Column, high: Column, steps: int) -> Column:
     """Equal-width bins of [low, high] in [0, 1]."""
     return F.ceil(F.try_divide(c - low, high - low) * (steps - 1)) / F.lit(float(steps - 1))
+
+
+def factors(c: Column, base: int) -> tuple[Column, Column]:
+    """A code of a large domain as two of smaller ones: quotient and remainder."""
+    return F.floor(c / base).cast("long"), F.pmod(c, F.lit(base))
+
+
+def factored(quotient: Column, remainder: Column, base: int) -> Column:
+    return quotient * base + remainder
+
+
+def to_datetime(c: Column, pattern: str = "yyyy-MM-dd") -> Column:
+    """Text as a timestamp; null where it isn't one."""
+    return F.try_to_timestamp(c, F.lit(pattern))
+
+
+def standard_score(c: Column, mean: Column, deviation: Column) -> Column:
+    return F.coalesce(F.try_divide(F.coalesce(c, mean) - mean, deviation), F.lit(0.0))

@@ -95,6 +95,26 @@ def theoretical_bounds(base: Column, keep: Column) -> tuple[Column, Column]:
 
 
 def suspected(df: DataFrame, group: list[str], value: str, candidate: str, high: bool) -> DataFrame:
-    """Of the candidates of each group, the extreme one in the direction of the suspected bias."""
-    pick = F.max_by if high else F.min_by
-    return df.groupBy(*group).agg(pick(candidate, value).alias(candidate), (F.max if high else F.min)(value).alias(value))
+    """Of the candidates of each group, the extreme one in the direction of the suspected bias; ties to the smaller candidate."""
+    best = df.groupBy(*group).agg(F.min(F.struct((-F.col(value) if high else F.col(value)).alias("v"), candidate)).alias("x"))
+    return best.select(*group, F.col(f"x.{candidate}").alias(candidate), (-F.col("x.v") if high else F.col("x.v")).alias(value))
+
+
+def most_and_least_common(df: DataFrame, column: str) -> DataFrame:
+    """One row: the most and the least frequent value, ties to the smaller value; null is no value."""
+    n = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    value = F.col(column)
+    # Of values with one number the smaller: the extremes of (number, value) need a second look at the values of that number.
+    ends = n.agg(F.max("n").alias("hi"), F.min("n").alias("lo"))
+    both = n.crossJoin(F.broadcast(ends))  # one row
+    return both.agg(F.min(F.when(F.col("n") == F.col("hi"), value)).alias("most"), F.min(F.when(F.col("n") == F.col("lo"), value)).alias("least"))
+
+
+def group_mean(df: DataFrame, key: str, attribute: str) -> DataFrame:
+    """The mean of an attribute for each key; null where all are null."""
+    return df.groupBy(key).agg(F.avg(attribute).alias("mean"))
+
+
+def rollup(results: DataFrame, by: list[str], measure: str) -> DataFrame:
+    """Of the results of many runs: number, mean, least and largest by parameters, in their order."""
+    return results.groupBy(*by).agg(F.count(measure).alias("runs"), F.avg(measure).alias("mean"), F.min(measure).alias("min"), F.max(measure).alias("max")).orderBy(*by)

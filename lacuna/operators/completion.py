@@ -109,18 +109,26 @@ def check_completed(df: DataFrame, key: str, tfs: list[str]) -> dict:
 
 
 def greedy(targets: np.ndarray, candidates: np.ndarray, window: int) -> np.ndarray:
-    """For each target the nearest candidate that is still free, first in its window of candidates; -1: none is left."""
-    out, free = np.full(len(targets), -1), np.ones(len(candidates), bool)
+    """For each target in turn the nearest candidate that is still free, first in its window of candidates, then in all; -1: none is left."""
+    out = np.full(len(targets), -1)
+    free = np.ones(len(candidates), bool)
     parts = max(1, -(-len(targets) // max(1, window)))
-    edges = np.linspace(0, len(candidates), parts + 1).astype(int)
-    for i, t in enumerate(targets):
-        part = min(i // max(1, window), parts - 1)
-        for lo, hi in ((edges[part], edges[part + 1]), (0, len(candidates))):
-            at = np.flatnonzero(free[lo:hi]) + lo
-            if len(at):
-                best = at[((candidates[at] - t) ** 2).sum(1).argmin()]
-                out[i], free[best] = best, False
-                break
+    cuts = np.linspace(0, len(candidates), parts + 1).astype(int)
+    left = len(candidates)
+    for part in range(parts):
+        lo, hi = cuts[part], cuts[part + 1]
+        rows = range(part * window, min(len(targets), (part + 1) * window))
+        square = ((targets[rows.start : rows.stop, None, :] - candidates[None, lo:hi, :]) ** 2).sum(2)
+        for i in rows:
+            if not left:
+                return out
+            near = np.where(free[lo:hi], square[i - rows.start], np.inf)
+            if len(near) and np.isfinite(near.min()):
+                best = lo + int(near.argmin())
+            else:
+                best = int(np.where(free, ((candidates - targets[i]) ** 2).sum(1), np.inf).argmin())
+            out[i], free[best] = best, False
+            left -= 1
     return out
 
 
@@ -157,8 +165,75 @@ def replace_lsh(synthetic: DataFrame, existing: DataFrame, key: str, vector: str
     return met.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).drop("n")
 
 
+def one_to_one(near: DataFrame, rounds: int = 50) -> DataFrame:
+    """(existing, synthetic, d) of near(existing, synthetic, d), each at most once: in each round the pairs of which each
+    is the other's nearest, ties to the smaller key; the rest goes on. Ends when no pair is left, `rounds` at the latest."""
+    near, out = stored(near.select("existing", "synthetic", "d"), "near"), None
+    for k in range(rounds):
+        first = lambda by, other: F.row_number().over(W.partitionBy(by).orderBy("d", other))
+        both = near.withColumn("__e", first("existing", "synthetic")).withColumn("__s", first("synthetic", "existing"))
+        won = stored(both.filter("__e = 1 and __s = 1").select("existing", "synthetic", "d"), f"near-won{k}")
+        out = won if out is None else out.unionByName(won)
+        near = stored(near.join(won.select("existing"), "existing", "left_anti").join(won.select("synthetic"), "synthetic", "left_anti"), f"near-left{k}")
+        if near.isEmpty():
+            break
+    return out
+
+
+#: Pairs of a bucket beyond which replacement goes by hashing.
+EXACT_PAIRS = 4_000_000
+
+
+def replace_parents(df: DataFrame, parents: DataFrame, r: Relationship, child_key: str, features: list[str], buckets: int | None = None, approximate: bool | None = None) -> DataFrame:
+    """A completed n:1 join in which existing parents take the place of synthesized ones, one to one.
+
+    An existing parent can be taken as often as it lacks children (its tuple factor, less the children that it has in
+    df). The nearest by the features (numbers) wins; approximate: by random projections, else by the exact greedy rule
+    in buckets; by default as the number of pairs asks. Where a parent's tuple factor is null, the synthesized one
+    stays. Synthesized parents that find none stay as they are.
+    """
+    df = stored(df, "replace-joined")
+    have = df.filter(F.col(r.pk) >= 0).groupBy(F.col(r.pk).alias("__k")).agg(F.count("*").alias("__have"))
+    lack = parents.join(have, F.col(r.pk) == F.col("__k"), "left").withColumn("__lack", F.col(r.tf) - F.coalesce("__have", F.lit(0)))
+    lack = lack.filter("__lack > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__lack").cast("long"))))
+    slots = stored(lack.select(r.pk, "__nth", *features), "replace-slots")
+    slots = synthetic_keys(slots, "__slot", r.pk, "__nth").withColumn("__slot", -F.col("__slot"))
+    made = df.filter(F.col(r.pk) < 0).select(F.col(child_key).alias("__slot"), *features)
+    n, m = slots.count(), made.count()
+    if not n or not m:
+        return df
+    if approximate is None:
+        approximate = n * m > EXACT_PAIRS * 1_000
+    if approximate:
+        from pyspark.ml.feature import VectorAssembler
+
+        ready = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip")
+        pairs = one_to_one(replace_lsh(ready.transform(made), ready.transform(slots), "__slot", "__x")).drop("d")
+    else:
+        buckets = buckets or max(1, -(-n * m // EXACT_PAIRS))
+        pairs = replace_nearest(made, slots, "__slot", features, [], buckets)
+    pairs = stored(pairs, "replace-pairs").join(slots.select(F.col("__slot").alias("existing"), F.col(r.pk).alias("__pk")), "existing").select(F.col("synthetic").alias("__c"), "__pk")
+    new = parents.drop(R.WEIGHT)
+    new = new.select(F.col(r.pk).alias("__new"), *[F.col(c).alias(f"__new_{c}") for c in new.columns if c != r.pk])
+    out = df.join(pairs, F.col(child_key) == F.col("__c"), "left").join(new, F.col("__pk") == F.col("__new"), "left")
+    taken = F.col("__pk").isNotNull()
+    for c in parents.drop(R.WEIGHT).columns:
+        # A tuple factor that the new parent doesn't know stays that of the synthesized one.
+        other = F.coalesce(F.col(f"__new_{c}"), F.col(c)) if c.startswith("tf_") else F.col("__pk") if c == r.pk else F.col(f"__new_{c}")
+        out = out.withColumn(c, F.when(taken, other).otherwise(F.col(c)))
+    out = out.withColumn(r.fk, F.when(taken, F.col("__pk")).otherwise(F.col(r.fk)))
+    return out.select(*df.columns)
+
+
+def expected_appearance(df: DataFrame, features: list[str], label: str, current: str, name: str = "expected") -> DataFrame:
+    """df with the label where it is known, else the regression's prediction, not below the current appearance."""
+    model = appearance_model(df.filter(F.col(label).isNotNull()), features, label)
+    out = model.transform(df)
+    return out.withColumn(name, F.coalesce(F.col(label).cast("double"), F.greatest(F.col("prediction"), F.col(current).cast("double")))).drop("__x", "prediction")
+
+
 def appearance_model(df: DataFrame, features: list[str], label: str):
-    """Regression of the expected appearance where it isn't known; predictions are to be clipped from below by the current one."""
+    """Regression of the expected appearance where it isn't known."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lacuna.operators import relational as R
+from lacuna.catalog import CAP, SchemaGraph
+from lacuna.operators import relational as R, tuple_factors
+from lacuna.sources import tables
 
 
 def normalize_by_key(df: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -41,6 +43,28 @@ def split_by_role(links: DataFrame, people: DataFrame, role: str, roles: dict[st
     return out
 
 
+def prepare(graph: SchemaGraph, frames: dict[str, DataFrame], folder: str, cap: int = CAP, sample_rate: float = 1.0) -> dict[str, dict]:
+    """Raw tables made ready: modelled columns and keys only, with the tuple factors of all relationships, written to a
+    folder. Of each table: its profile, null links, and of each tuple factor the percentiles and the parents without a child."""
+    facts = {}
+    for name in graph.topological():
+        df, mine = frames[name], [r for r in graph.relationships if r.parent == name]
+        links = [r.fk for r in graph.relationships if r.child == name]
+        keys = dict.fromkeys([graph.tables[name].key, *links])
+        ignored = set(graph.tables[name].ignored) - set(keys)
+        df = df.select(*keys, *[c for c in tables.modelled(df.drop(*keys, *ignored), cap).columns])
+        for r in mine:
+            df = tuple_factors.add_tf(df, frames[r.child].select(r.fk), r, sample_rate=sample_rate)
+        tables.write_table(df, f"{folder}/{name}", graph.tables[name].key)
+        done = df.sparkSession.read.parquet(f"{folder}/{name}")
+        facts[name] = {
+            "profile": tables.profile(done),
+            "null links": tables.null_links(done, links, sample_rate),
+            "tuple factors": {r.tf: tuple_factors.percentiles(done, r.tf).first().asDict() | {"without": done.filter(F.col(r.tf) == 0).count()} for r in mine},
+        }
+    return facts
+
+
 def parameter_grid(**lists) -> list[dict]:
     """All combinations of parameters, for series of scenarios."""
     return [dict(zip(lists, values)) for values in itertools.product(*lists.values())]

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lacuna.catalog import Relationship, SchemaGraph
+from lacuna.functions.scalars import uniform
+from lacuna.sources.scratch import stored
 
 WEIGHT = "__w"
 COMPARE = {"=": operator.eq, ">=": operator.ge, "<=": operator.le, ">": operator.gt, "<": operator.lt, "!=": operator.ne}
@@ -99,6 +101,53 @@ def connected(df: DataFrame, tfs: list[str]) -> DataFrame:
     return df.filter(~reduce(lambda a, b: a & b, (F.coalesce(F.col(t) == 0, F.lit(False)) for t in tfs)))
 
 
+def connected_on_path(df: DataFrame, relationships: list[Relationship], tables: set[str]) -> DataFrame:
+    """connected(), for the relationships whose tables all lie on a path."""
+    return connected(df, [r.tf for r in relationships if {r.child, r.parent} <= tables and r.tf in df.columns])
+
+
+def sentinel_to_null(df: DataFrame, sentinels: dict[str, object]) -> DataFrame:
+    """For each column its sentinel becomes null."""
+    return df.withColumns({c: F.nullif(F.col(c), F.lit(v)) for c, v in sentinels.items()})
+
+
+def sample_with_replacement(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
+    """About `rows` rows; a row may come several times: its number of times is a Poisson draw by the hash of its key."""
+    mean = rows / max(1, df.count())
+    times, p, most = [], 2.718281828459045**-mean, int(mean + 12 * mean**0.5 + 12)
+    total = 0.0
+    for k in range(most):
+        total += p
+        times.append(total)
+        p *= mean / (k + 1)
+    u = uniform(seed, "again", F.col(key))
+    n = F.size(F.filter(F.array(*map(F.lit, times)), lambda x: x <= u))
+    return df.withColumn("__n", n).filter("__n > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n", "__i")
+
+
+def first_rows(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
+    """The `rows` rows (the limit is the feature) with the least hash of their key."""
+    return df.orderBy(uniform(seed, "first", F.col(key)), key).limit(rows)
+
+
+def running_total(df: DataFrame, amount: str, order: str, group: str | None = None, name: str = "running") -> DataFrame:
+    """The sum of `amount` up to each row. Without a group, rows are numbered in ranges of `order`, whose totals alone meet in one task."""
+    if group:
+        w = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(amount).over(w))
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = stored(df.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()), "running")
+    totals = parts.groupBy("__part").agg(F.sum(amount).alias("__sum"))  # a row a range
+    before = totals.withColumn("__before", F.coalesce(F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
+    w = W.partitionBy("__part").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return parts.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.sum(amount).over(w)).drop("__part", "__before")
+
+
+def cut_batch(df: DataFrame, amount: str, order: str, most: float) -> DataFrame:
+    """The rows, in their order, whose amounts add up to at most `most`."""
+    return running_total(df, amount, order, name="__running").filter(F.col("__running") <= most).drop("__running")
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")

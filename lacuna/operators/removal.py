@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.catalog import Relationship, SchemaGraph
 from lacuna.functions.scalars import uniform
 from lacuna.operators import relational as R
+from lacuna.operators.tuple_factors import add_tf
 from lacuna.sources.scratch import stored
 
 
@@ -99,5 +102,54 @@ def remove(graph: SchemaGraph, frames: dict[str, DataFrame], table: str, kept: D
     return out
 
 
+@dataclass(frozen=True)
+class Removal:
+    """What is to go from a table: kind is uniform, bias or categorical; rate is the share that stays."""
+
+    table: str
+    kind: str = "uniform"
+    rate: float = 0.5
+    attribute: str | None = None
+    rho: float = 0.0
+    values: tuple = ()
+    cascade: bool = True
+    known_tfs: float = 1.0
+    sentinel: object = None
+
+    def kept(self, df: DataFrame, key: str, seed: int) -> DataFrame:
+        if self.sentinel is not None and self.attribute:
+            df = R.sentinel_to_null(df, {self.attribute: self.sentinel})
+        if self.kind == "uniform":
+            return uniform_keys(df, key, self.rate, seed)
+        if not self.attribute:
+            raise ValueError(f"a removal by {self.kind} needs an attribute")
+        if self.kind == "bias":
+            return bias_keys(df, key, self.attribute, self.rate, self.rho, seed)
+        if self.kind == "categorical":
+            return categorical_keys(df, key, self.attribute, list(self.values), self.rate, self.rho, seed)
+        raise ValueError(f"no such removal: {self.kind}")
+
+
+def incomplete(graph: SchemaGraph, frames: dict[str, DataFrame], removals: list[Removal], tables: list[str] | None = None, seed: int = 0) -> tuple[SchemaGraph, dict[str, DataFrame]]:
+    """A scenario in one call: removals one after the other over the given tables (all, if none are named), with tuple
+    factors counted before, of which `known_tfs` of the parents keep theirs; and the graph with its tables that lost no
+    row as complete ones."""
+    own = {t: frames[t] for t in (tables or frames)}
+    inner = SchemaGraph({t: graph.tables[t] for t in own}, tuple(r for r in graph.relationships if {r.child, r.parent} <= set(own)))
+    before = {t: df.count() for t, df in own.items()}
+    for r in inner.relationships:
+        if r.tf not in own[r.parent].columns:
+            own[r.parent] = add_tf(own[r.parent], own[r.child].select(r.fk), r)
+    for i, x in enumerate(removals):
+        key = inner.tables[x.table].key
+        own = remove(inner, own, x.table, x.kept(own[x.table], key, seed + i), x.cascade)
+        if x.known_tfs < 1:
+            for r in inner.relationships:
+                if r.child == x.table:
+                    own[r.parent] = R.unknown_tf(own[r.parent], r, known_tf_keys(own[r.parent], r.pk, None, x.known_tfs, seed + i))
+        own = {t: stored(df, f"remaining-{t}") for t, df in own.items()}
+    return inner.with_complete(*(t for t, n in before.items() if own[t].count() == n)), own
+
+
 def links_of(graph: SchemaGraph, table: str) -> list[Relationship]:
     return graph.touching(table)

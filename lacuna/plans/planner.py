@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import time
+from dataclasses import dataclass, field, replace
 from enum import Enum
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.catalog import Path, SchemaGraph
-from lacuna.operators import completion, relational
+from lacuna.operators import aqp, completion, relational
+from lacuna.operators.removal import Removal, incomplete
 from lacuna.operators.tuple_factors import add_tf
+from lacuna.sources.scratch import stored
+from lacuna.sources.tables import cached_result
 
 
 class Selection(Enum):
@@ -36,6 +40,8 @@ class Scenario:
     seed: int = 0
     support: int = 20
     evidence: int = 2
+    #: For tables whose synthesized rows existing ones may replace: the numbers by which they are near.
+    replace: dict[str, list[str]] = field(default_factory=dict)
 
     def with_tuple_factors(self, truth: dict[str, DataFrame]) -> Scenario:
         """Tuple factors counted on other (complete) frames, where a parent doesn't have one yet."""
@@ -43,7 +49,7 @@ class Scenario:
         for r in self.graph.relationships:
             if r.parent in frames and r.child in truth and r.tf not in frames[r.parent].columns:
                 frames[r.parent] = add_tf(frames[r.parent], truth[r.child], r)
-        return Scenario(self.graph, frames, self.attributes, self.seed, self.support, self.evidence)
+        return replace(self, frames=frames)
 
 
 @dataclass
@@ -53,6 +59,8 @@ class Plan:
     branches: list[Path]
     union: Union = Union.COMBINE
     notes: list[str] = field(default_factory=list)
+    replaced: frozenset[str] = frozenset()
+    requested: frozenset[str] = frozenset()
 
     def explain(self) -> str:
         lines = []
@@ -60,7 +68,7 @@ class Plan:
             lines.append(f"branch {i}: load {p.start}")
             for r, t in p.steps:
                 way = "1:n" if t == r.child else "n:1"
-                lines.append(f"  complete {way} {r.name} -> {t}")
+                lines.append(f"  complete {way} {r.name} -> {t}" + (f", then existing {t} in place of synthesized ones" if way == "n:1" and t in self.replaced else ""))
             lines.append(f"  project {', '.join(sorted(p.requested))}; weights over {', '.join(r.tf for r in p.fan_out()) or 'nothing'}")
         return "\n".join([*lines, f"union: {self.union.value}" if len(self.branches) > 1 else "single branch"])
 
@@ -79,7 +87,7 @@ def plan(graph: SchemaGraph, requested: set[str], fixed: set[str] | None = None,
     if score is not None:
         ranked = sorted(((score(p), i) for i, p in enumerate(found)), key=lambda x: (-x[0], x[1]))
         if ranked[0][0] < 0:
-            return Plan([], union, ["all candidates are worse than the baseline"])
+            return Plan([], union, ["all candidates are worse than the baseline"], requested=frozenset(requested))
         found = [found[i] for _, i in ranked]
     best = found[0]
     if best.incoming:  # one branch for each last relationship
@@ -92,6 +100,11 @@ def plan(graph: SchemaGraph, requested: set[str], fixed: set[str] | None = None,
     return Plan([best], union)
 
 
+def with_replacement(p: Plan, s: Scenario) -> Plan:
+    """The plan, with the replacements that the scenario asks for said in its text."""
+    return replace(p, replaced=frozenset(t for t, f in s.replace.items() if f))
+
+
 def run_path(s: Scenario, path: Path) -> DataFrame:
     """The completed join along a path, before projection."""
     df = relational.weighted(s.frames[path.start])
@@ -102,16 +115,19 @@ def run_path(s: Scenario, path: Path) -> DataFrame:
         if new == r.child:
             df = completion.join_1n(df, s.frames[new], r, df, key, columns, evidence, s.seed, s.support)
         else:
-            df = completion.join_n1(df, s.frames[new], r, s.graph.tables[r.child].key, columns, evidence, s.seed, s.support)
+            child_key = s.graph.tables[r.child].key
+            df = completion.join_n1(df, s.frames[new], r, child_key, columns, evidence, s.seed, s.support)
+            if s.replace.get(new):
+                df = completion.replace_parents(df, s.frames[new], r, child_key, s.replace[new])
         df = df.drop(completion.SYNTHETIC)
         known += columns
     return df
 
 
 def execute(s: Scenario, p: Plan, columns: list[str]) -> DataFrame:
-    """The completed, weighted rows of the requested tables."""
+    """The completed, weighted rows of the requested tables; of an empty plan what the incomplete tables hold."""
     if not p.branches:
-        raise ValueError("; ".join(p.notes))
+        return relational.project(baseline(s, set(p.requested)), columns)
     parts = []
     for path in p.branches:
         done = run_path(s, path)
@@ -131,6 +147,75 @@ def complete(s: Scenario, requested: set[str], columns: list[str], **how) -> Dat
     return execute(s, plan(s.graph, requested, **how), columns)
 
 
+def baseline(s: Scenario, requested: set[str], path: Path | None = None) -> DataFrame:
+    """The requested join over what remains; with a path, only rows that its relationships connect."""
+    start = next(t for t in s.graph.topological() if t in requested)
+    df = relational.join_tables(s.graph, s.frames, s.graph.between(requested), start)
+    return relational.connected_on_path(df, s.graph.relationships, set(path.tables)) if path else df
+
+
+def ground_truth(graph: SchemaGraph, truth: dict[str, DataFrame], requested: set[str], tables: set[str] | None = None) -> DataFrame:
+    """The requested join over complete tables; with tables, only rows that the relationships among them connect."""
+    start = next(t for t in graph.topological() if t in requested)
+    df = relational.join_tables(graph, truth, graph.between(requested), start)
+    return relational.connected_on_path(df, graph.relationships, tables) if tables else df
+
+
+def validation(s: Scenario, removal: Removal) -> Scenario:
+    """A more incomplete scenario: the removal is done again on what remains, which counts as the truth."""
+    known = s.with_tuple_factors(s.frames)
+    _, frames = incomplete(s.graph, known.frames, [removal], list(s.frames), s.seed + 1)
+    return replace(known, frames=frames)
+
+
+def score(s: Scenario, more: Scenario, path: Path, attribute: str, values: list | None = None, key: str | None = None) -> tuple[float, float]:
+    """A path's bias reduction and mean absolute error (by key, where one is given) in the validation scenario."""
+    keep = [attribute, *([key] if key and key != attribute else [])]
+    done = stored(completion.project_requested(run_path(more, path), path, keep), "score")
+    true, base = (stored(baseline(x, set(path.requested)).select(*keep), "score") for x in (s, more))
+    mean = lambda df, name: aqp.mean_or_share(df, attribute, values).withColumnRenamed("value", name)
+    one = mean(done, "p").crossJoin(mean(base, "b")).crossJoin(mean(true, "t"))
+    row = one.select(aqp.bias_reduction(F.col("p"), F.col("b"), F.col("t")).alias("r"), F.abs(F.col("p") - F.col("t")).alias("e")).first()
+    error = aqp.mean_absolute_error(done, true, key, attribute).first()["mae"] if key and not values else row["e"]
+    return float(row["r"]), float(error if error is not None else row["e"])
+
+
+def plan_selected(s: Scenario, requested: set[str], strategy: Selection, removal: Removal, attribute: str, values: list | None = None, union: Union = Union.COMBINE, key: str | None = None) -> Plan:
+    """Each candidate path is run in a validation scenario, whose removal is the suspected one (for UNIFORM_MAE a uniform
+    one); the best makes the plan. An empty plan says that the baseline is better than all."""
+    found = candidates(s.graph, requested)
+    if strategy is Selection.NONE or len(found) < 2 and strategy is not Selection.ARTIFICIAL_BIAS:
+        return plan(s.graph, requested, union=union)
+    if strategy is Selection.UNIFORM_MAE:
+        removal = replace(removal, kind="uniform", attribute=None)
+    more = validation(s, removal)
+    numbers = [score(s, more, p, attribute, values, key) for p in found]
+    best = select(strategy, [r for r, _ in numbers], [e for _, e in numbers])
+    if best is None:
+        return Plan([], union, ["all candidates are worse than the baseline"], requested=frozenset(requested))
+    return plan(s.graph, requested, union=union, score=lambda p: 1.0 if p == found[best] else 0.0)
+
+
+@dataclass
+class Run:
+    """What a plan's run gave: its rows (stored), seconds, and for each branch the rows and the sum of weights."""
+
+    rows: DataFrame
+    seconds: float
+    stats: list[dict]
+
+
+def execute_timed(s: Scenario, p: Plan, columns: list[str], folder: str | None = None) -> Run:
+    """Reads the result where the same plan over the same columns has been run into the folder; else runs and writes it."""
+    begin = time.time()
+    make = lambda: execute(s, p, columns)
+    spark = next(iter(s.frames.values())).sparkSession
+    text = f"{p.explain()}|{columns}|{s.seed}|{s.support}|{s.evidence}"
+    rows = cached_result(spark, text, folder, make) if folder else stored(make(), "result")
+    whole = rows.agg(F.count("*").alias("rows"), F.sum(relational.WEIGHT).alias("weight")).first().asDict()
+    return Run(rows, time.time() - begin, [whole | {"branches": len(p.branches)}])
+
+
 def combined_scores(bias: list[float], mae: list[float]) -> list[float]:
     """Bias reduction and error, each scaled to [0, 1], added up."""
     scaled = lambda x: [(v - min(x)) / (max(x) - min(x)) if max(x) > min(x) else 1.0 for v in x]

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lacuna import catalog
+from lacuna.datasets import dataset, surrogate
 from lacuna.functions import scalars as S
 from lacuna.functions.scalars import uniform, uniform_sql
 from lacuna.operators import aqp, completion, etl, models, relational as R, removal, tuple_factors as TF
-from lacuna.plans import planner
+from lacuna.plans import evaluation, planner, setups
 from lacuna.sources.scratch import stored
 from lacuna.streaming import events as streaming
 
@@ -52,11 +52,6 @@ def completed_lineitems(spark, d):
     return n.join(orders.groupBy("o_orderstatus").agg(F.count("*").alias("orders")), "o_orderstatus")
 
 
-def surrogate(items: DataFrame) -> DataFrame:
-    """lineitem has no unique key, but no two equal rows: a hash of the row (kept within 62 bits)."""
-    return items.withColumn("l_id", F.xxhash64(*items.columns).bitwiseAND(F.lit((1 << 62) - 1)))
-
-
 @query("SELECT o_orderkey, count(l_orderkey) AS tf_lineitem_l_orderkey FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def tf_orders_lineitem(spark, d):
     return TF.add_tf(read(spark, d, "orders").select("o_orderkey"), read(spark, d, "lineitem").select("l_orderkey"), REL["lineitem_orders"])
@@ -378,18 +373,55 @@ def complete_1n(spark, d):
     orders, customers = read(spark, d, "orders"), read(spark, d, "customer")
     kept = R.in_keys(orders, "o_orderkey", removal.bias_keys(orders.select("o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice", 0.5, 0.5, 2))
     s = planner.Scenario(GRAPH.with_complete("customer", "region", "nation"), {"customer": customers, "orders": kept}, {"customer": ["c_mktsegment"], "orders": ["o_orderstatus", "o_orderpriority"]}, seed=2)
-    done = planner.complete(s.with_tuple_factors({"orders": orders}), {"orders"}, ["o_orderstatus", "o_orderpriority"])
+    s = s.with_tuple_factors({"orders": orders})
+    s.frames["customer"] = stored(s.frames["customer"], "customers")
+    done = planner.complete(s, {"orders"}, ["o_orderstatus", "o_orderpriority"])
     return done.agg(F.sum(R.WEIGHT).alias("n"))
 
 
-@query()
+def cdf_sql(name: str, rows: str, context: str, value: str, mass: str = "count(*)", support: int = 20) -> str:
+    """CTEs name_c (contexts with support) and name_m (no context): v with lo and hi, over the rows of a FROM clause."""
+    up = lambda part: f"sum(m) OVER ({part} ORDER BY v) / sum(m) OVER ({part}) AS hi, (sum(m) OVER ({part} ORDER BY v) - m) / sum(m) OVER ({part}) AS lo"
+    return f"""{name}_n AS (SELECT {context} AS g, {value} AS v, CAST({mass} AS DOUBLE) AS m, count(*) AS n FROM {rows} GROUP BY 1, 2),
+    {name}_c AS (SELECT g, v, {up("PARTITION BY g")} FROM (SELECT *, sum(n) OVER (PARTITION BY g) AS r FROM {name}_n) WHERE r >= {support}),
+    {name}_m AS (SELECT v, {up("PARTITION BY 1")} FROM (SELECT v, sum(m) AS m FROM {name}_n GROUP BY v))"""
+
+
+def draw_sql(name: str, context: str, u: str) -> tuple[str, str]:
+    """The drawn value, and the joins that it needs."""
+    within = lambda t: f"{u} >= {t}.lo AND ({u} < {t}.hi OR {t}.hi >= 1 - 1e-12)"
+    return f"coalesce({name}1.v, {name}2.v)", f"LEFT JOIN {name}_c {name}1 ON {name}1.g = {context} AND {within(name + '1')} LEFT JOIN {name}_m {name}2 ON {within(name + '2')}"
+
+
+def _tf_mass(tf: str) -> str:
+    return f"count(*) * CASE WHEN {tf} >= 1 THEN 1.0 / {tf} ELSE 1.0 END"
+
+
+TF_ORDERS = "tf_orders_o_custkey"
+DRAWN_TF, DRAWN_TF_JOIN = draw_sql("f", "c_mktsegment", uniform_sql("'2'", f"'{TF_ORDERS}'", "c_custkey"))
+DRAWN_STATUS, DRAWN_STATUS_JOIN = draw_sql("s", "c_mktsegment", uniform_sql("'2'", "'o_orderstatus'", "c_custkey || '#' || nth"))
+
+
+@query(
+    f"""WITH k AS (SELECT * FROM orders QUALIFY row_number() OVER (ORDER BY {uniform_sql("'2'", "'keep'", "o_orderkey")}, o_orderkey) <= CAST(floor(0.5 * (SELECT count(*) FROM orders)) AS BIGINT)),
+    kt AS (SELECT c_custkey FROM customer QUALIFY row_number() OVER (ORDER BY (c_acctbal IS NULL)::INT + {uniform_sql("'2'", "'tf'", "c_custkey")}, c_custkey) <= CAST(floor(0.5 * (SELECT count(*) FROM customer)) AS BIGINT)),
+    c AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey IN (SELECT c_custkey FROM kt) THEN coalesce(n, 0) END AS tf, coalesce(cur, 0) AS cur FROM customer
+      LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) a ON a.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, count(*) AS cur FROM k GROUP BY 1) b ON b.o_custkey = c_custkey),
+    {cdf_sql("f", "(SELECT * FROM c WHERE tf >= 0)", "c_mktsegment", "tf", _tf_mass("tf"))},
+    e AS (SELECT c_custkey, c_mktsegment, cur, coalesce(tf, {DRAWN_TF}) AS ex FROM c {DRAWN_TF_JOIN}),
+    m AS (SELECT CASE WHEN avg(greatest(0, ex - cur)) > 0 AND avg(ex) > avg(cur) THEN (avg(ex) - avg(cur)) / avg(greatest(0, ex - cur)) ELSE 1 END AS scale FROM e),
+    l AS (SELECT c_custkey, c_mktsegment, unnest(range(1, CAST(floor(greatest(0, ex - cur) * scale + 1e-9) AS BIGINT) + 1)) AS nth FROM e, m),
+    {cdf_sql("s", "c JOIN k ON o_custkey = c_custkey", "c_mktsegment", "o_orderstatus")},
+    r AS (SELECT {DRAWN_STATUS} AS o_orderstatus FROM l {DRAWN_STATUS_JOIN} UNION ALL SELECT o_orderstatus FROM c JOIN k ON o_custkey = c_custkey)
+    SELECT o_orderstatus, CAST(count(*) AS DOUBLE) AS n FROM r GROUP BY 1"""
+)
 def aqp_completed(spark, d):
     """Share of statuses after completion with half of the tuple factors unknown."""
     orders, customers = read(spark, d, "orders"), read(spark, d, "customer")
     r = REL["orders_customer"]
     kept = R.in_keys(orders, "o_orderkey", removal.uniform_keys(orders.select("o_orderkey"), "o_orderkey", 0.5, 2))
-    c = TF.add_tf(customers, orders, r)
-    c = R.unknown_tf(c, r, removal.known_tf_keys(customers, "c_custkey", "c_acctbal", 0.5, 2))
+    c = TF.add_tf(customers, orders.select("o_custkey"), r)
+    c = stored(R.unknown_tf(c, r, removal.known_tf_keys(customers, "c_custkey", "c_acctbal", 0.5, 2)), "customers")
     s = planner.Scenario(GRAPH.with_complete("customer"), {"customer": c, "orders": kept}, {"customer": ["c_mktsegment"], "orders": ["o_orderstatus"]}, seed=2)
     done = planner.complete(s, {"orders"}, ["o_orderstatus"])
     return aqp.AggregateQuery(("orders",), None, (), ("o_orderstatus",)).compute(done).select("o_orderstatus", "n")
@@ -420,7 +452,7 @@ def set_evidence(spark, d):
     return x.select("c_custkey", F.col("set_size").cast("long").alias("set_size"), n.alias("n_f"))
 
 
-@query("SELECT o_orderstatus, max(m) AS best, arg_max(o_orderpriority, m) AS o_orderpriority FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS m FROM orders GROUP BY 1, 2) GROUP BY 1")
+@query("SELECT o_orderstatus, m AS best, o_orderpriority FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS m FROM orders GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY m DESC, o_orderpriority) = 1")
 def suspected_extreme(spark, d):
     n = read(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("best"))
     return aqp.suspected(n, ["o_orderstatus"], "best", "o_orderpriority", True).select("o_orderstatus", "best", "o_orderpriority")
@@ -428,8 +460,7 @@ def suspected_extreme(spark, d):
 
 @query("SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS running FROM events")
 def running_sum(spark, d):
-    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
-    return read(spark, d, "events").select("event_id", F.sum("value").over(w).alias("running"))
+    return R.running_total(read(spark, d, "events"), "value", "event_id", "user_id").select("event_id", "running")
 
 
 @query()
@@ -456,3 +487,242 @@ def synthetic_bias(spark, d):
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, d):
     return streaming.windowed(read(spark, d, "events"), "1 day").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+VALUE, VALUE_JOIN = draw_sql("s", "c_mktsegment", uniform_sql("'4'", "'o_orderstatus'", "c_custkey || '#' || nth"))
+KEPT4 = f"(SELECT * FROM orders WHERE {uniform_sql(chr(39) + '4' + chr(39), chr(39) + 'keep' + chr(39), 'o_orderkey')} < 0.5)"
+LACK4 = f"""k AS {KEPT4}, c AS (SELECT c_custkey, c_mktsegment, coalesce(n, 0) - coalesce(cur, 0) AS lack FROM customer
+      LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) a ON a.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, count(*) AS cur FROM k GROUP BY 1) b ON b.o_custkey = c_custkey),
+    l AS (SELECT c_custkey, c_mktsegment, unnest(range(1, lack + 1)) AS nth FROM c), w AS (SELECT max(lack) + 1 AS most FROM c),
+    {cdf_sql("s", "c JOIN k ON o_custkey = c_custkey", "c_mktsegment", "o_orderstatus")}"""
+#: Pairing of a customer and a place, as completion.synthetic_keys has it.
+KEY4 = "-((CASE WHEN c_custkey > 0 THEN 2 * (c_custkey - 1) + 1 ELSE -2 * c_custkey END) * most + nth) - 1"
+
+
+def _completed_orders(spark, d):
+    orders, c = read(spark, d, "orders"), read(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    r = REL["orders_customer"]
+    c = stored(TF.add_tf(c, orders.select("o_custkey"), r), "customers")
+    orders = TF.add_tf(orders.select("o_orderkey", "o_custkey", "o_orderstatus"), read(spark, d, "lineitem").select("l_orderkey"), REL["lineitem_orders"])
+    kept = orders.filter(uniform(4, "keep", F.col("o_orderkey")) < 0.5)
+    return completion.join_1n(c, kept, r, c, "o_orderkey", ["o_orderstatus"], ["c_mktsegment"], seed=4)
+
+
+@query(
+    f"""WITH {LACK4}
+    SELECT {KEY4} AS o_orderkey, c_custkey AS o_custkey, {VALUE} AS o_orderstatus, true AS synthetic FROM l CROSS JOIN w {VALUE_JOIN}
+    UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, false FROM k"""
+)
+def complete_1n_values(spark, d):
+    """Each completed order with its key and drawn status, replayed by the oracle."""
+    return _completed_orders(spark, d).select("o_orderkey", "o_custkey", "o_orderstatus", F.col(completion.SYNTHETIC).alias("synthetic"))
+
+
+TF_ITEMS = "tf_lineitem_l_orderkey"
+HOP_TF, HOP_TF_JOIN = draw_sql("f", "o_orderstatus", uniform_sql("'4'", f"'{TF_ITEMS}'", "o_orderkey"))
+HOP_FLAG, HOP_FLAG_JOIN = draw_sql("g", "o_orderstatus", uniform_sql("'4'", "'l_returnflag'", "o_orderkey || '#' || nth"))
+
+
+@query(
+    f"""WITH {LACK4},
+    o AS (SELECT {KEY4} AS o_orderkey, {VALUE} AS o_orderstatus, CAST(NULL AS BIGINT) AS tf FROM l CROSS JOIN w {VALUE_JOIN}
+      UNION ALL SELECT o_orderkey, o_orderstatus, coalesce(n, 0) FROM k LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+    i AS (SELECT * FROM lineitem WHERE {uniform_sql("'4'", "'keep'", "l_partkey")} < 0.5),
+    p AS (SELECT o.*, coalesce(cur, 0) AS cur FROM o LEFT JOIN (SELECT l_orderkey, count(*) AS cur FROM i GROUP BY 1) ON l_orderkey = o_orderkey),
+    {cdf_sql("f", "(SELECT * FROM p WHERE tf >= 0)", "o_orderstatus", "tf", _tf_mass("tf"))},
+    e AS (SELECT o_orderkey, o_orderstatus, cur, coalesce(tf, {HOP_TF}) AS ex FROM p {HOP_TF_JOIN}),
+    m AS (SELECT CASE WHEN avg(greatest(0, ex - cur)) > 0 AND avg(ex) > avg(cur) THEN (avg(ex) - avg(cur)) / avg(greatest(0, ex - cur)) ELSE 1 END AS scale FROM e),
+    ll AS (SELECT o_orderkey, o_orderstatus, unnest(range(1, CAST(floor(greatest(0, ex - cur) * scale + 1e-9) AS BIGINT) + 1)) AS nth FROM e, m),
+    {cdf_sql("g", "o JOIN i ON l_orderkey = o_orderkey", "o_orderstatus", "l_returnflag")},
+    r AS (SELECT o_orderstatus, {HOP_FLAG} AS l_returnflag, 1 AS made FROM ll {HOP_FLAG_JOIN} UNION ALL SELECT o_orderstatus, l_returnflag, 0 FROM o JOIN i ON l_orderkey = o_orderkey)
+    SELECT o_orderstatus, l_returnflag, count(*) AS n, CAST(sum(made) AS BIGINT) AS made FROM r GROUP BY 1, 2"""
+)
+def complete_two_hops(spark, d):
+    """Customers to orders to lineitems: synthesized orders have no tuple factor, and get synthesized items of their own."""
+    df = _completed_orders(spark, d).drop(completion.SYNTHETIC)
+    items = surrogate(read(spark, d, "lineitem")).select("l_id", "l_orderkey", "l_partkey", "l_returnflag").filter(uniform(4, "keep", F.col("l_partkey")) < 0.5)
+    done = completion.join_1n(df, items, REL["lineitem_orders"], df, "l_id", ["l_returnflag"], ["o_orderstatus"], seed=4)
+    return done.groupBy("o_orderstatus", "l_returnflag").agg(F.count("*").alias("n"), F.count_if(completion.SYNTHETIC).alias("made"))
+
+
+@query(
+    f"""WITH c AS (SELECT c_custkey FROM customer WHERE c_acctbal >= 0), o AS (SELECT o_orderkey, o_orderstatus, c_custkey FROM orders LEFT JOIN c ON o_custkey = c_custkey),
+    {cdf_sql("s", "orders JOIN customer ON o_custkey = c_custkey AND c_acctbal >= 0", "o_orderstatus", "c_mktsegment")},
+    r AS (SELECT o_orderkey, {draw_sql("s", "o_orderstatus", uniform_sql("'6'", "'c_mktsegment'", "o_orderkey"))[0]} AS c_mktsegment FROM o {draw_sql("s", "o_orderstatus", uniform_sql("'6'", "'c_mktsegment'", "o_orderkey"))[1]} WHERE c_custkey IS NULL)
+    SELECT -(CASE WHEN o_orderkey > 0 THEN 2 * (o_orderkey - 1) + 1 ELSE -2 * o_orderkey END) - 1 AS c_custkey, o_orderkey, c_mktsegment FROM r"""
+)
+def complete_n1_values(spark, d):
+    """The synthesized customers of orders that lost theirs."""
+    frames = {n: read(spark, d, n) for n in ("customer", "orders", "events")}
+    kept = frames["customer"].filter(F.col("c_acctbal") >= 0).select("c_custkey")
+    out = removal.remove(GRAPH, frames, "customer", kept, cascade=False)
+    done = completion.join_n1(out["orders"], out["customer"], REL["orders_customer"], "o_orderkey", ["c_mktsegment"], ["o_orderstatus"], seed=6)
+    return done.filter(completion.SYNTHETIC).select("c_custkey", "o_orderkey", "c_mktsegment")
+
+
+@query(
+    """WITH n AS (SELECT o_orderstatus AS g, o_orderpriority AS v, count(*) AS n FROM orders GROUP BY 1, 2), pr AS (SELECT v, sum(n) / sum(sum(n)) OVER () AS pi FROM n GROUP BY v),
+    p AS (SELECT g.g, pr.v, pr.pi, coalesce(n.n, 0) / CAST(sum(coalesce(n.n, 0)) OVER (PARTITION BY g.g) AS DOUBLE) AS p FROM (SELECT DISTINCT g FROM n) g CROSS JOIN pr LEFT JOIN n ON n.g = g.g AND n.v = pr.v),
+    o AS (SELECT pi + (0.9 - 0.5) / 0.5 * (1 - pi) AS b, (SELECT count(*) FROM pr) - 1 AS others FROM pr WHERE v = '1-URGENT'),
+    x AS (SELECT g, v, p * 0.6 + 0.4 * CASE WHEN v = '1-URGENT' THEN b ELSE (1 - b) / others END AS q FROM p, o)
+    SELECT g AS o_orderstatus, v AS value, round(q / sum(q) OVER (PARTITION BY g), 8) AS p FROM x"""
+)
+def model_percentile(spark, d):
+    """A model whose belief in urgent orders is drawn to its 0.9 quantile."""
+    m = models.CountModel.fit(read(spark, d, "orders"), "o_orderpriority", ["o_orderstatus"], support=1)
+    return m.bounded("1-URGENT", 0.9, 0.6).probabilities().withColumn("p", F.round("p", 8))
+
+
+@query(
+    """SELECT o_orderstatus, o_orderpriority AS value, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY o_orderstatus) AS DOUBLE), 8) AS p FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1, 2"""
+)
+def model_without_value(spark, d):
+    m = models.CountModel.fit(read(spark, d, "orders"), "o_orderpriority", ["o_orderstatus"], support=1)
+    return m.without("1-URGENT").probabilities().withColumn("p", F.round("p", 8))
+
+
+SCENARIO = f"""WITH k AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders QUALIFY row_number() OVER (ORDER BY {uniform_sql("'9'", "'keep'", "o_orderkey")}, o_orderkey) <= CAST(floor(0.5 * (SELECT count(*) FROM orders)) AS BIGINT)),
+    i AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM k))"""
+
+
+def _scenario(spark, d):
+    frames = dataset("sample").load(spark, d)
+    return frames, *removal.incomplete(GRAPH, frames, [removal.Removal("orders", "uniform", 0.5)], ["customer", "orders", "lineitem"], seed=9)
+
+
+@query(
+    SCENARIO
+    + """ SELECT 'customer' AS name, (SELECT count(*) FROM customer) AS n, true AS complete, (SELECT count(*) FROM orders) AS tfs UNION ALL SELECT 'orders', (SELECT count(*) FROM k), false, (SELECT count(*) FROM i) UNION ALL SELECT 'lineitem', (SELECT count(*) FROM i), false, NULL"""
+)
+def scenario(spark, d):
+    """An incomplete schema in one call: rows and completeness of each table, and the children that its tuple factors promise."""
+    _, graph, left = _scenario(spark, d)
+    rows = None
+    for t, tf in (("customer", TF_ORDERS), ("orders", TF_ITEMS), ("lineitem", None)):
+        one = left[t].agg(F.lit(t).alias("name"), F.count("*").alias("n"), F.lit(t in graph.complete).alias("complete"), (F.sum(tf) if tf else F.lit(None).cast("long")).alias("tfs"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query(
+    """WITH b AS (SELECT * FROM orders WHERE o_orderkey % 5 = 0), p AS (SELECT *, 2.0 AS w FROM orders WHERE o_orderkey % 2 = 0), t AS (SELECT * FROM orders)
+    SELECT 'o_totalprice' AS attribute, round(t, 4) AS "true", round(b, 4) AS base, round(p, 4) AS pred, round(1 - abs((p - t) / (b - t)), 6) AS bias_reduction, tn AS true_rows, bn AS base_rows, pn AS pred_rows, round(greatest(0, 1 - abs((pn - tn) / (bn - tn))), 6) AS cardinality_correction
+    FROM (SELECT avg(o_totalprice) AS t, CAST(count(*) AS DOUBLE) AS tn FROM t), (SELECT avg(o_totalprice) AS b, CAST(count(*) AS DOUBLE) AS bn FROM b), (SELECT avg(o_totalprice) AS p, CAST(sum(w) AS DOUBLE) AS pn FROM p)
+    UNION ALL SELECT 'o_orderstatus', round(t, 4), round(b, 4), round(p, 4), round(1 - abs((p - t) / (b - t)), 6), tn, bn, pn, round(greatest(0, 1 - abs((pn - tn) / (bn - tn))), 6)
+    FROM (SELECT avg((o_orderstatus = 'F')::INT) AS t, CAST(count(*) AS DOUBLE) AS tn FROM t), (SELECT avg((o_orderstatus = 'F')::INT) AS b, CAST(count(*) AS DOUBLE) AS bn FROM b), (SELECT avg((o_orderstatus = 'F')::INT) AS p, CAST(sum(w) AS DOUBLE) AS pn FROM p)"""
+)
+def evaluation_of_removals(spark, d):
+    o = read(spark, d, "orders")
+    removals = [removal.Removal("orders", "bias", 0.5, "o_totalprice", 0.5), removal.Removal("orders", "categorical", 0.5, "o_orderstatus", 0.5, ("F",)), removal.Removal("orders")]
+    x = evaluation.evaluate(removals, o, o.filter("o_orderkey % 5 = 0"), o.filter("o_orderkey % 2 = 0").withColumn(R.WEIGHT, F.lit(2.0)))
+    exact = {"true": 4, "base": 4, "pred": 4, "bias_reduction": 6, "cardinality_correction": 6}
+    return x.select(*[F.round(c, exact[c]).alias(c) if c in exact else c for c in evaluation.MEASURES])
+
+
+def _corpus_sql() -> str:
+    one = """SELECT '{name}' AS name, round(be, 8) AS base_error, round(pe, 8) AS pred_error, round(be - pe, 8) AS improvement FROM (SELECT (SELECT avg(abs((t.v - b.v) / t.v)) FROM t{i} t JOIN b{i} b ON t.g = b.g) AS be, (SELECT avg(abs((t.v - p.v) / t.v)) FROM t{i} t JOIN p{i} p ON t.g = p.g) AS pe)"""
+    spec = {"orders_by_status": ("o_orderstatus", "sum(w)", "true"), "orders_urgent": ("1", "sum(w)", "o_orderpriority IN ('1-URGENT', '2-HIGH')"), "price_by_priority": ("o_orderpriority", "sum(w * o_totalprice) / sum(w)", "true"), "price_of_finished": ("1", "sum(w * o_totalprice) / sum(w)", "o_orderstatus = 'F' AND o_totalprice >= 1000")}
+    ctes, parts = [], []
+    for i, (name, (g, v, test)) in enumerate(spec.items()):
+        for side, where, w in (("t", "true", "1.0"), ("b", "o_orderkey % 5 = 0", "1.0"), ("p", "o_orderkey % 2 = 0", "2.0")):
+            ctes.append(f"{side}{i} AS (SELECT {g} AS g, CAST({v} AS DOUBLE) AS v FROM (SELECT *, {w} AS w FROM orders WHERE {where}) WHERE {test} GROUP BY 1)")
+        parts.append(one.format(name=name, i=i))
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(parts)}"
+
+
+@query(_corpus_sql())
+def evaluation_of_queries(spark, d):
+    """All queries of the dataset's corpus over one table."""
+    o = read(spark, d, "orders")
+    x = evaluation.evaluate_queries(dataset("sample").queries, {"orders"}, o, o.filter("o_orderkey % 5 = 0"), o.filter("o_orderkey % 2 = 0").withColumn(R.WEIGHT, F.lit(2.0)))
+    return x.select("name", *[F.round(c, 8).alias(c) for c in ("base_error", "pred_error", "improvement")])
+
+
+@query()
+def planner_selected(spark, d):
+    """Each strategy's choice between the paths to nations' customers, scored in a validation scenario."""
+    frames = {n: read(spark, d, n) for n in ("nation", "customer", "orders")}
+    frames["orders"] = frames["orders"].select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    bias = removal.Removal("customer", "bias", 0.6, "c_acctbal", 0.6, cascade=False)
+    graph, left = removal.incomplete(GRAPH, frames, [bias], list(frames), seed=3)
+    s = planner.Scenario(graph, left, {"nation": ["n_regionkey"], "orders": ["o_orderstatus"], "customer": ["c_acctbal"]}, seed=3, support=5)
+    out = []
+    for strategy in planner.Selection:
+        p = planner.plan_selected(s, {"customer"}, strategy, bias, "c_acctbal")
+        out.append((strategy.value, p.branches[0].start if p.branches else "baseline", len(p.branches)))
+    return spark.createDataFrame(out, "strategy string, start string, branches int")
+
+
+@query(
+    """WITH c AS (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0), a AS (SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
+    SELECT (SELECT count(*) FROM orders) AS n, CAST(n AS BIGINT) AS linked, (SELECT count(*) FROM orders) - n AS made FROM a"""
+)
+def complete_n1_replaced(spark, d):
+    """Existing customers with room take the place of synthesized ones: none has, while their factors are met; so all stay."""
+    return _replaced(spark, d, 0)
+
+
+@query(
+    """WITH c AS (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0), a AS (SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)), o AS (SELECT count(*) AS n FROM orders), r AS (SELECT least(o.n - a.n, (SELECT count(*) FROM c)) AS n FROM a, o)
+    SELECT o.n AS n, CAST(a.n + r.n AS BIGINT) AS linked, o.n - a.n - r.n AS made FROM a, o, r"""
+)
+def complete_n1_replaced_some(spark, d):
+    """Each customer has room for one more order."""
+    return _replaced(spark, d, 1)
+
+
+def _replaced(spark, d, room: int):
+    frames = {n: read(spark, d, n) for n in ("customer", "orders", "events")}
+    r = REL["orders_customer"]
+    frames["customer"] = TF.add_tf(frames["customer"], frames["orders"].select("o_custkey"), r).withColumn(r.tf, F.col(r.tf) + room)
+    out = removal.remove(GRAPH, frames, "customer", frames["customer"].filter("c_custkey % 3 <> 0").select("c_custkey"), cascade=False)
+    s = planner.Scenario(GRAPH.with_complete("orders"), out, {"customer": ["c_acctbal"], "orders": ["o_orderstatus"]}, seed=8, replace={"customer": ["c_acctbal"]})
+    done = planner.run_path(s, catalog.Path("orders", ((r, "customer"),), frozenset({"customer"})))
+    return done.agg(F.count("*").alias("n"), F.count_if(F.col("c_custkey") >= 0).alias("linked"), F.count_if(F.col("c_custkey") < 0).alias("made"))
+
+
+@query("SELECT (SELECT o_orderpriority FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS most, (SELECT o_orderpriority FROM orders GROUP BY 1 ORDER BY count(*), 1 LIMIT 1) AS least")
+def most_and_least_common(spark, d):
+    return aqp.most_and_least_common(read(spark, d, "orders"), "o_orderpriority")
+
+
+@query("SELECT o_custkey, round(avg(nullif(o_totalprice, 0)), 4) AS mean FROM orders GROUP BY 1")
+def group_mean(spark, d):
+    o = R.sentinel_to_null(read(spark, d, "orders"), {"o_totalprice": 0})
+    return aqp.group_mean(o, "o_custkey", "o_totalprice").withColumn("mean", F.round("mean", 4))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(o_totalprice) AS runs, round(avg(o_totalprice), 4) AS mean, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders GROUP BY 1, 2")
+def result_rollup(spark, d):
+    return aqp.rollup(read(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], "o_totalprice").withColumn("mean", F.round("mean", 4))
+
+
+@query("SELECT event_id FROM (SELECT event_id, sum(CAST(value * 100 AS BIGINT)) OVER (ORDER BY event_id) AS s FROM events) WHERE s <= 100000")
+def cut_batch(spark, d):
+    """The events, in order of their id, whose amounts (whole hundredths) add up to a bound."""
+    e = read(spark, d, "events").select("event_id", F.round(F.col("value") * 100, 0).cast("long").alias("amount"))
+    return R.cut_batch(e, "amount", "event_id", 100_000).select("event_id")
+
+
+@query(
+    """WITH c AS (SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS o, (SELECT count(*) FROM events WHERE user_id = c_custkey) AS e FROM customer)
+    SELECT (SELECT count(*) FROM c WHERE NOT (o = 0 AND e = 0)) AS connected, (SELECT count(*) FROM c WHERE e <> 0) AS on_path"""
+)
+def restrict_connected(spark, d):
+    c = TF.add_tf(TF.add_tf(read(spark, d, "customer"), read(spark, d, "events"), REL["events_customer"]), read(spark, d, "orders"), REL["orders_customer"])
+    on = R.connected_on_path(c, GRAPH.relationships, {"customer", "events"}).agg(F.count("*").alias("on_path"))
+    return R.connected(c, [TF_ORDERS, "tf_events_user_id"]).agg(F.count("*").alias("connected")).crossJoin(on)
+
+
+@query(f"SELECT o_orderkey FROM orders ORDER BY {uniform_sql(chr(39) + '1' + chr(39), chr(39) + 'first' + chr(39), 'o_orderkey')}, o_orderkey LIMIT 50")
+def first_rows(spark, d):
+    return R.first_rows(read(spark, d, "orders"), "o_orderkey", 50, 1).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, date_part('year', o_orderdate)::VARCHAR AS year, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey // 64 AS hi, o_orderkey % 64 AS lo FROM orders")
+def dates_and_factors(spark, d):
+    text = F.date_format("o_orderdate", "yyyy-MM-dd")
+    hi, lo = S.factors(F.col("o_orderkey"), 64)
+    day = F.date_format(S.to_datetime(text), "yyyy-MM-dd")
+    o = read(spark, d, "orders").select("o_orderkey", S.year_of(text).alias("year"), day.alias("day"), hi.alias("hi"), lo.alias("lo"))
+    return o.filter(S.factored(F.col("hi"), F.col("lo"), 64) == F.col("o_orderkey"))

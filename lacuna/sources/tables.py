@@ -47,6 +47,36 @@ def combine(spark: SparkSession, paths: list[str], header: bool = True) -> DataF
     return out
 
 
+def copy_csv(spark: SparkSession, source: str, target: str, header: bool = False, sep: str = ",") -> None:
+    """Rows as they are, from one place to another."""
+    df = spark.read.csv(source, header=header, sep=sep, escape="\\")
+    df.write.mode("overwrite").csv(target, header=header, sep=sep, escape="\\")
+
+
+#: How tables are read: all rows; what removal left; what it left, with the true tuple factors.
+COMPLETE, INCOMPLETE, TRUE_FACTORS = "complete", "incomplete", "incomplete, true tuple factors"
+
+
+def access(mode: str, whole: dict[str, DataFrame], remaining: dict[str, DataFrame], keys: dict[str, str]) -> dict[str, DataFrame]:
+    """The frames of a mode. keys: the primary key of each table."""
+    if mode == COMPLETE:
+        return dict(whole)
+    if mode == INCOMPLETE:
+        return dict(remaining)
+    out = {}
+    for name, df in remaining.items():
+        tfs = [c for c in whole[name].columns if c.startswith("tf_")]
+        true = whole[name].select(F.col(keys[name]).alias("__k"), *tfs)
+        out[name] = df.drop(*tfs).join(true, F.col(keys[name]) == F.col("__k"), "left").drop("__k") if tfs else df
+    return out
+
+
+def null_links(df: DataFrame, fks: list[str], sample_rate: float = 1.0) -> dict[str, float]:
+    """For each foreign key how many rows have none, by the share of rows that the table holds."""
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in fks]).first().asDict() if fks else {}
+    return {c: n / sample_rate for c, n in row.items()}
+
+
 def profile(df: DataFrame) -> dict[str, dict]:
     """Of each column: type, number of distinct values (about) and of nulls, mean for numbers. One job."""
     numeric = {n for n, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint") or t.startswith("decimal")}
@@ -86,7 +116,7 @@ def cached_result(spark: SparkSession, plan: str, folder: str, make) -> DataFram
 
 
 def synthetic(spark: SparkSession, parents: int, fan_out: int = 5, skew: float = 1.0, values: int = 100, predictability: float = 1.0, by_set: bool = False, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """complete(id, attribute_a) with Zipf values, and incomplete(id, attribute_b, complete_id): a child's value is its parent's, but redrawn for a share of 1 - predictability."""
+    """complete(id, attribute_a) with Zipf values, and incomplete(id, attribute_b, complete_id): a child's value is its parent's, but redrawn for a share of 1 - predictability. by_set: a family's value is drawn apart from its parent's."""
     from lacuna.functions.scalars import uniform
 
     weights = [1 / (k + 1) ** skew for k in range(values)]
@@ -97,9 +127,10 @@ def synthetic(spark: SparkSession, parents: int, fan_out: int = 5, skew: float =
     cdf = F.array(*map(F.lit, steps))
     draw = lambda u: F.least(F.lit(values), F.size(F.filter(cdf, lambda x: x <= u)) + 1) - 1
     a = spark.range(parents).withColumn("attribute_a", draw(uniform(seed, "a", F.col("id"))))
-    c = a.select(F.col("id").alias("complete_id"), "attribute_a").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(fan_out - 1))))
+    # Correlated sets: the value that a family shares is another draw than its parent's, so that no child follows its parent.
+    shared = draw(uniform(seed, "set", F.col("id"))) if by_set else F.col("attribute_a")
+    c = a.select(F.col("id").alias("complete_id"), shared.alias("shared")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(fan_out - 1))))
     c = c.withColumn("id", F.col("complete_id") * fan_out + F.col("k"))
-    unit = F.col("complete_id") if by_set else F.col("id")
-    redrawn = uniform(seed, "flip", unit) >= predictability
-    value = F.when(redrawn, draw(uniform(seed, "b", unit))).otherwise(F.col("attribute_a"))
+    redrawn = uniform(seed, "flip", F.col("id")) >= predictability
+    value = F.when(redrawn, draw(uniform(seed, "b", F.col("id")))).otherwise(F.col("shared"))
     return a, c.select("id", F.concat(F.lit("v"), value.cast("string")).alias("attribute_b"), "complete_id")
