@@ -8,7 +8,8 @@ nearest in distance is largest in product; bands of like norms keep that coordin
 own recall against brute force, with some of its points as queries, and doubles its beam until `goal` is reached.
 
 A query goes to every shard, in blocks of queries; beam search finds the shard's best, whose products are computed
-again in double precision from the original vectors, and the best over all shards are kept.
+again in double precision from the original vectors. A task takes a few shards and hands on each query's best of them
+together; the best over all tasks are kept.
 
 Equal vectors are one point of the graph; its members are the ids that have it, of which a query needs no more than
 the k + 1 smallest. So no common vector makes a hot shard or a crowded neighbourhood.
@@ -36,8 +37,8 @@ DEGREE, BEAM, ALPHA = 32, 64, 1.2
 #: Ratio of the norms in a band; recall that a shard asks of its beam, and how many of its points measure it.
 STEP, GOAL, PROBES = 1.1, 0.97, 64
 BATCH = 512
-#: Queries that meet a shard in one task.
-BLOCK = 8192
+#: Queries, and shards, that meet in one task; of its shards' findings the task hands on the best.
+BLOCK, SHARDS_A_TASK = 8192, 4
 
 
 class Graph:
@@ -204,26 +205,32 @@ def _build(k: int, goal: float):
     return run
 
 
+def _of_shard(s, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the beam's ids (beyond all ids: none) and their products with it (-inf)."""
+    ids = np.frombuffer(s["ids"], np.int64)
+    x = np.frombuffer(s["vectors"], np.float64).reshape(len(ids), -1)
+    points = np.frombuffer(s["points"], np.float32).reshape(len(ids), -1)
+    g = Graph(points, np.frombuffer(s["edges"], np.int32).reshape(len(ids), -1), int(s["entry"]))
+    near, _ = g.search(as_query(g, asked), int(s["beam"]))
+    score = np.where(near >= 0, np.einsum("qd,qkd->qk", asked, x[np.maximum(near, 0)]), -np.inf)
+    return np.where(near >= 0, ids[np.maximum(near, 0)], np.iinfo(np.int64).max), score
+
+
 def _search(k: int):
     def run(shards: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(shards) and len(asked):
-            s = shards.iloc[0]
-            ids = np.frombuffer(s["ids"], np.int64)
-            x = np.frombuffer(s["vectors"], np.float64).reshape(len(ids), -1)
-            points = np.frombuffer(s["points"], np.float32).reshape(len(ids), -1)
-            g = Graph(points, np.frombuffer(s["edges"], np.int32).reshape(len(ids), -1), int(s["entry"]))
-            for a in range(0, len(asked), 256):
-                part = asked.iloc[a : a + 256]
-                q = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                near, _ = g.search(as_query(g, q), int(s["beam"]))
-                score = np.where(near >= 0, np.einsum("qd,qkd->qk", q, x[np.maximum(near, 0)]), -np.inf)
-                found = np.where(near >= 0, ids[np.maximum(near, 0)], np.iinfo(np.int64).max)
+        for a in range(0, len(asked) if len(shards) else 0, 256):
+            part = asked.iloc[a : a + 256]
+            q = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+            found, score = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+            for _, s in shards.iterrows():
+                more, its = _of_shard(s, q)
+                found, score = np.concatenate([found, more], axis=1), np.concatenate([score, its], axis=1)
                 by = np.lexsort((found, -score), axis=1)[:, : k + 1]
                 rows = np.arange(len(q))[:, None]
-                score, found = score[rows, by], found[rows, by]
-                ok = np.isfinite(score)
-                out.append(pd.DataFrame({"query": np.repeat(part["vec_id"].to_numpy(np.int64), ok.sum(1)), "point": found[ok], "score": score[ok]}))
+                found, score = found[rows, by], score[rows, by]
+            ok = np.isfinite(score)
+            out.append(pd.DataFrame({"query": np.repeat(part["vec_id"].to_numpy(np.int64), ok.sum(1)), "point": found[ok], "score": score[ok]}))
         return pd.concat(out) if out else pd.DataFrame({"query": np.zeros(0, np.int64), "point": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     return run
@@ -276,10 +283,12 @@ def search(vectors: DataFrame, is_query, k: int = K, shard: int = SHARD, block:
     asked = points.select("width", "vec_id", "embedding").join(asking.select(F.col("query").alias("vec_id")).distinct(), "vec_id", "left_semi")
     blocks = -(-max(1, asked.count()) // block)
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))).join(sizes, "width")
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    there = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    keys = ["width", "shard", "block"]
-    tasks = min(2 * shards * blocks, 20_000)
+    parts = F.floor((F.col("shards") - 1) / SHARDS_A_TASK).cast("long")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts)))
+    there = graphs.withColumn("part", F.floor(F.col("shard") / SHARDS_A_TASK).cast("long"))
+    there = there.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    keys = ["width", "part", "block"]
+    tasks = min(2 * -(-shards // SHARDS_A_TASK) * blocks, 20_000)
     there, asked = there.repartition(tasks, *keys), asked.select(*keys, "vec_id", "embedding").repartition(tasks, *keys)
     met = there.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_search(k), "query long, point long, score double")
     order = W.partitionBy("query").orderBy(F.desc("score"), "point")
