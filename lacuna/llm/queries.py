@@ -34,4 +34,4 @@ QUERIES = {
     "op10_sentencepiece": _over(pieces.query, "documents"),
     "pipeline": _pipeline,
 }
-SQL = {"op1_secret_scan": secrets.SQL, "op6_url_filter": url_filter.SQL}
+SQL = {"op1_secret_scan": secrets.SQL, "op5_warc": warc.SQL, "op6_url_filter": url_filter.SQL}

@@ -254,3 +254,15 @@ def query(spark: SparkSession, pages: DataFrame) -> DataFrame:
     return read(write(pages, scratch(spark, "warc"))).drop("payload")
 
 
+def _sql() -> str:
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    # Five hex digits are four characters of base32.
+    character = f"substr('{alphabet}', 1 + ((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (5 * (3 - i % 4))) & 31), 1)"
+    return f"""WITH p AS (SELECT row_number() OVER () AS nth, page_id, coalesce(html, '') AS t FROM pages),
+    d AS (SELECT nth, page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, sha1(t) AS h FROM p),
+    k AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first_id FROM d WINDOW w AS (PARTITION BY h ORDER BY page_id NULLS LAST, nth))
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: {character}), '') AS payload_digest,
+      CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN first_id END AS refers_to FROM k"""
+
+
+SQL = _sql()

@@ -341,6 +341,19 @@ def test_warc(spark):
     assert warc.query(spark, p.limit(0)).count() == 0
 
 
+def test_warc_as_sql(spark):
+    rows = [(3, "u", "x" * 10), (1, None, "x" * 10), (2, "u", None), (5, "u", ""), (None, "u", "z"), (7, "u", "é😀\x00"), (7, "u", "é😀\x00"), (None, "u", "x" * 10), (8, "u", "z"), (9, "u", "long " * 50_000)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    columns = "page_id, payload_bytes, payload_digest, record_type, refers_to"
+    want = Counter(con.sql(f"SELECT {columns} FROM ({warc.SQL})").fetchall())
+    assert Counter(tuple(r) for r in warc.query(spark, p).select(*columns.split(", ")).collect()) == want and len(rows) == want.total()
+    con.sql("DELETE FROM pages")
+    assert con.sql(warc.SQL).fetchall() == []
+
+
 @pytest.mark.parametrize("broadcast", ["-1", "10485760"])
 def test_warc_of_repeated_rows_in_many_files(spark, tmp_path, broadcast):
     rng = np.random.default_rng(6)
