@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import operator
 from functools import reduce
 
@@ -114,12 +115,12 @@ def sentinel_to_null(df: DataFrame, sentinels: dict[str, object]) -> DataFrame:
 def sample_with_replacement(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
     """About `rows` rows; a row may come several times: its number of times is a Poisson draw by the hash of its key."""
     mean = rows / max(1, df.count())
-    times, p, most = [], 2.718281828459045**-mean, int(mean + 12 * mean**0.5 + 12)
-    total = 0.0
-    for k in range(most):
-        total += p
+    if mean <= 0:
+        return df.limit(0)
+    times, total = [], 0.0
+    for k in range(int(mean + 12 * mean**0.5 + 12)):
+        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
         times.append(total)
-        p *= mean / (k + 1)
     u = uniform(seed, "again", F.col(key))
     n = F.size(F.filter(F.array(*map(F.lit, times)), lambda x: x <= u))
     return df.withColumn("__n", n).filter("__n > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n", "__i")

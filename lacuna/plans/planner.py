@@ -42,6 +42,8 @@ class Scenario:
     evidence: int = 2
     #: For tables whose synthesized rows existing ones may replace: the numbers by which they are near.
     replace: dict[str, list[str]] = field(default_factory=dict)
+    #: Tells the frames apart from those of other scenarios whose results are stored in the same folder.
+    name: str = ""
 
     def with_tuple_factors(self, truth: dict[str, DataFrame]) -> Scenario:
         """Tuple factors counted on other (complete) frames, where a parent doesn't have one yet."""
@@ -206,11 +208,12 @@ class Run:
 
 
 def execute_timed(s: Scenario, p: Plan, columns: list[str], folder: str | None = None) -> Run:
-    """Reads the result where the same plan over the same columns has been run into the folder; else runs and writes it."""
+    """Reads the result where the same plan over the same columns, for a scenario of the same name, attributes and
+    parameters, has been run into the folder; else runs and writes it. Scenarios of one folder have different names."""
     begin = time.time()
     make = lambda: execute(s, p, columns)
     spark = next(iter(s.frames.values())).sparkSession
-    text = f"{p.explain()}|{columns}|{s.seed}|{s.support}|{s.evidence}"
+    text = f"{p.explain()}|{columns}|{s.name}|{sorted(s.attributes.items())}|{sorted(s.replace.items())}|{s.seed}|{s.support}|{s.evidence}"
     rows = cached_result(spark, text, folder, make) if folder else stored(make(), "result")
     whole = rows.agg(F.count("*").alias("rows"), F.sum(relational.WEIGHT).alias("weight")).first().asDict()
     return Run(rows, time.time() - begin, [whole | {"branches": len(p.branches)}])

@@ -207,6 +207,8 @@ def test_timed_run(spark, tmp_path):
     one = planner.execute_timed(s, plan, ["b"], str(tmp_path / "runs"))
     two = planner.execute_timed(s, plan, ["b"], str(tmp_path / "runs"))
     assert one.stats == two.stats == [{"rows": 120, "weight": 120.0, "branches": 1}] and rows(one.rows) == rows(two.rows)
+    other = planner.Scenario(GRAPH, {"parent": p, "child": c.withColumn("b", F.lit("z"))}, s.attributes, name="other")
+    assert planner.execute_timed(other, plan, ["b"], str(tmp_path / "runs")).rows.filter("b != 'z'").isEmpty()
     more = planner.validation(s, removal.Removal("child", "uniform", 0.5))
     assert more.frames["child"].count() == 45
     assert planner.ground_truth(GRAPH, s.frames, {"parent", "child"}).count() == 90
@@ -267,6 +269,8 @@ def test_samples(spark):
     df = spark.range(2000)
     n = R.sample_with_replacement(df, "id", 3000, 1)
     assert abs(n.count() - 3000) < 300 and n.groupBy("id").count().agg(F.max("count")).first()[0] > 2
+    many = R.sample_with_replacement(spark.range(3), "id", 6000, 1)
+    assert abs(many.count() - 6000) < 500 and R.sample_with_replacement(df, "id", 0).count() == 0
     total = R.running_total(df.withColumn("a", F.lit(1)), "a", "id").filter("running != id + 1")
     assert total.count() == 0
     known = models.set_evidence(spark.createDataFrame([(1,), (2,)], "p long"), spark.createDataFrame([(5, 1, "x"), (6, 1, "y")], "c long, f long, v string"), "p", "f", "c", ["v"], 10)
