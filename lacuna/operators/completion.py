@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,13 +29,14 @@ def folded(c: Column) -> Column:
 TIE_BITS = 8
 
 
-def synthetic_keys(df: DataFrame, name: str, of: str, nth: str | None = None) -> DataFrame:
+def synthetic_keys(df: DataFrame, name: str, of: str, nth: str | None = None, bounds: tuple | None = None) -> DataFrame:
     """df (stored) with a negative key, unique for each (of, nth): the pairing -(folded(of) * most + nth) - 1 where that
     stays within 63 bits for all rows, else a hash of 54 bits and the row's rank among those of its hash. Null `of` is
-    not allowed. The same rows have the same keys, however they are partitioned."""
+    not allowed. The same rows have the same keys, however they are partitioned. bounds: the least and largest `of`,
+    and the largest nth, where they are known."""
     key = F.col(of).cast("long")
     second = F.col(nth).cast("long") if nth else F.lit(0).cast("long")
-    low, high, most = df.agg(F.min(key), F.max(key), F.max(second)).first()
+    low, high, most = bounds or df.agg(F.min(key), F.max(key), F.max(second)).first()
     most = int(most or 0) + 1
     if max(2 * int(high or 0), -2 * int(low or 0)) + 2 <= (1 << 62) // most:
         return df.withColumn(name, -(folded(key) * F.lit(most) + second) - 1)
@@ -43,8 +46,8 @@ def synthetic_keys(df: DataFrame, name: str, of: str, nth: str | None = None) ->
     return df.withColumn("__code", code).withColumn(name, -(F.shiftleft("__code", TIE_BITS) + rank) - 1).drop("__code")
 
 
-def missing_children(parents: DataFrame, children: DataFrame, r: Relationship, train: DataFrame, evidence: list[str], seed: int = 0, support: int = 20, normalize: bool = True) -> DataFrame:
-    """parents (stored) with __current_tf, __expected (known tuple factor, else a draw weighed by 1 / tf, by 1 below 1) and __missing."""
+def _missing_and_bounds(parents: DataFrame, children: DataFrame, r: Relationship, train: DataFrame, evidence: list[str], seed: int = 0, support: int = 20, normalize: bool = True) -> tuple[DataFrame, tuple]:
+    """missing_children(), and the least and largest key and the largest __missing of those that lack children."""
     p = stored(add_current_tf(parents, children, r), "complete-current")
     if p.filter(F.col(r.tf).isNull()).isEmpty():
         p = p.withColumn("__expected", F.col(r.tf))
@@ -54,11 +57,17 @@ def missing_children(parents: DataFrame, children: DataFrame, r: Relationship, t
         p = CountModel.fit(known, r.tf, evidence, support, weight=inverse).sample(p, uniform(seed, r.tf, F.col(r.pk)), "__drawn")
         p = stored(p.withColumn("__expected", F.coalesce(F.col(r.tf), F.col("__drawn"), F.lit(0))).drop("__drawn"), "complete-expected")
     p = p.withColumn("__short", F.greatest(F.lit(0), F.col("__expected") - F.col(CURRENT)).cast("double"))
-    scale = 1.0
-    if normalize:
-        e, c, m = (float(x or 0) for x in p.agg(F.avg("__expected"), F.avg(CURRENT), F.avg("__short")).first())
-        scale = (e - c) / m if m > 0 and e > c else 1.0
-    return p.withColumn("__missing", F.floor(F.col("__short") * F.lit(scale) + 1e-9).cast("int")).drop("__short")
+    key = F.when(F.col("__short") > 0, F.col(r.pk))
+    *means, most, low, high = p.agg(F.avg("__expected"), F.avg(CURRENT), F.avg("__short"), F.max("__short"), F.min(key), F.max(key)).first()
+    e, c, m = (float(x or 0) for x in means)
+    scale = (e - c) / m if normalize and m > 0 and e > c else 1.0
+    p = p.withColumn("__missing", F.floor(F.col("__short") * F.lit(scale) + 1e-9).cast("int")).drop("__short")
+    return p, (low, high, math.floor(float(most or 0) * scale + 1e-9))
+
+
+def missing_children(parents: DataFrame, children: DataFrame, r: Relationship, train: DataFrame, evidence: list[str], seed: int = 0, support: int = 20, normalize: bool = True) -> DataFrame:
+    """parents (stored) with __current_tf, __expected (known tuple factor, else a draw weighed by 1 / tf, by 1 below 1) and __missing."""
+    return _missing_and_bounds(parents, children, r, train, evidence, seed, support, normalize)[0]
 
 
 def join_1n(parents: DataFrame, children: DataFrame, r: Relationship, train_parents: DataFrame, child_key: str, columns: list[str], evidence: list[str], seed: int = 0, support: int = 20) -> DataFrame:
@@ -69,10 +78,10 @@ def join_1n(parents: DataFrame, children: DataFrame, r: Relationship, train_pare
     """
     same, parents = train_parents is parents, R.weighted(parents)
     existing = stored(R.join(parents, children, r), "complete-existing")
-    p = missing_children(parents, existing.select(r.fk), r, parents if same else train_parents, evidence, seed, support)
+    p, bounds = _missing_and_bounds(parents, existing.select(r.fk), r, parents if same else train_parents, evidence, seed, support)
     lack = p.filter("__missing >= 1").withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__missing"))))
     lack = lack.withColumn("__draw", F.concat_ws("#", F.col(r.pk).cast("string"), F.col("__nth").cast("string")))
-    lack = synthetic_keys(lack, child_key, r.pk, "__nth")
+    lack = synthetic_keys(lack, child_key, r.pk, "__nth", bounds)
     made = sample_columns(lack, existing if same else R.join(train_parents, children, r), columns, evidence, "__draw", seed, support)
     made = made.withColumn(r.fk, F.col(r.pk)).drop("__missing", "__expected", "__nth", "__draw", CURRENT).withColumn(SYNTHETIC, F.lit(True))
     return R.concat(existing.withColumn(SYNTHETIC, F.lit(False)), made)

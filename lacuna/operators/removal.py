@@ -20,14 +20,14 @@ def _first(df: DataFrame, key: str, order: Column, rate: float) -> DataFrame:
     Rows surely below the cut are taken by a comparison; only those around it, between two approximate quantiles that
     counts confirm, are sorted.
     """
-    rows = stored(df.select(key, order.cast("double").alias("__o")), "removal-order")
-    total = rows.count()
-    n, near = int(rate * total), 2e-4
-    if n <= 0 or n >= total:
-        return rows.filter(F.lit(n > 0)).select(key)
+    rows, near = stored(df.select(key, order.cast("double").alias("__o")), "removal-order"), 2e-4
     while True:
-        at = [max(0.0, n / total - near), min(1.0, n / total + near)]
-        low, high = rows.agg(F.percentile_approx("__o", F.array(*map(F.lit, at)), F.lit(20_000)).alias("q")).first()["q"]
+        at = [min(1.0, max(0.0, rate - near)), max(0.0, min(1.0, rate + near))]
+        total, found = rows.agg(F.count("*"), F.percentile_approx("__o", F.array(*map(F.lit, at)), F.lit(20_000))).first()
+        n = int(rate * total)
+        if n <= 0 or n >= total:
+            return rows.filter(F.lit(n > 0)).select(key)
+        low, high = found
         low, high = F.lit(float("-inf") if at[0] == 0 else low), F.lit(float("inf") if at[1] == 1 else high)
         below, up_to = rows.agg(F.count_if(F.col("__o") < low), F.count_if(F.col("__o") <= high)).first()
         if below <= n <= up_to:
@@ -42,14 +42,19 @@ def uniform_keys(df: DataFrame, key: str, rate: float, seed: int = 0) -> DataFra
 
 
 def bias_weights(df: DataFrame, key: str, attribute: str, rho: float, seed: int = 0) -> DataFrame:
-    """key and v: weights whose correlation with the min-max normalised attribute is rho; rows without the attribute are left out."""
-    y = df.filter(F.col(attribute).isNotNull()).select(key, F.col(attribute).cast("double").alias("a"))
-    one = y.agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
-    y = y.crossJoin(F.broadcast(one)).select(key, F.coalesce(F.try_divide(F.col("a") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)).alias("y"), uniform(seed, "x", F.col(key)).alias("x"))
-    fit = y.agg(F.regr_slope("x", "y").alias("b"), F.regr_intercept("x", "y").alias("a"), F.stddev_pop("y").alias("sy"))
-    y = y.crossJoin(F.broadcast(fit)).withColumn("e", F.col("x") - F.coalesce(F.col("a") + F.col("b") * F.col("y"), F.lit(0.5)))
-    sd = y.agg(F.stddev_pop("e").alias("se"))
-    v = y.crossJoin(F.broadcast(sd)).withColumn("v", F.lit(rho) * F.col("se") * F.col("y") + F.col("sy") * F.lit((1 - rho * rho) ** 0.5) * F.col("e"))
+    """key and v: weights whose correlation with the min-max normalised attribute is rho; rows without the attribute are left out.
+
+    Two passes: the moments of attribute and draw give the regression and the spread of what it leaves; then the least
+    weight and the sum.
+    """
+    y = df.filter(F.col(attribute).isNotNull()).select(key, F.col(attribute).cast("double").alias("a"), uniform(seed, "x", F.col(key)).alias("x"))
+    facts = [F.min("a").alias("lo"), F.max("a").alias("hi"), F.regr_slope("x", "a").alias("b"), F.regr_intercept("x", "a").alias("c"), F.stddev_pop("a").alias("sa"), F.var_pop("x").alias("vx")]
+    y = y.crossJoin(F.broadcast(y.agg(*facts)))
+    part = lambda c: F.coalesce(F.try_divide(c, F.col("hi") - F.col("lo")), F.lit(0.0))
+    rest = F.col("x") - F.coalesce(F.col("c") + F.col("b") * F.col("a"), F.lit(0.5))
+    left = F.sqrt(F.greatest(F.lit(0.0), F.col("vx") - F.coalesce(F.pow(F.col("b") * F.col("sa"), 2), F.lit(0.0))))
+    weight = F.lit(rho) * left * part(F.col("a") - F.col("lo")) + part(F.col("sa")) * F.lit((1 - rho * rho) ** 0.5) * rest
+    v = y.select(key, weight.alias("v"))
     low = v.agg(F.least(F.min("v"), F.lit(0.0)).alias("m"), F.sum("v").alias("s"), F.count("*").alias("n"))
     v = v.crossJoin(F.broadcast(low))
     return v.select(key, F.coalesce(F.try_divide(F.col("v") - F.col("m"), F.col("s") - F.col("m") * F.col("n")), F.lit(0.0)).alias("v"))
@@ -64,6 +69,8 @@ def bias_keys(df: DataFrame, key: str, attribute: str, rate: float, rho: float,
     order = F.when(F.col("v") > 0, -F.ln(uniform(seed, "keep", F.col(key))) / F.col("v")).otherwise(F.lit(float("inf")))
     some = _first(v, key, order, rate)
     none = df.filter(F.col(attribute).isNull())
+    if none.isEmpty():
+        return some
     return some.unionByName(uniform_keys(none, key, rate, seed))
 
 

@@ -107,8 +107,21 @@ def with_replacement(p: Plan, s: Scenario) -> Plan:
     return replace(p, replaced=frozenset(t for t, f in s.replace.items() if f))
 
 
-def run_path(s: Scenario, path: Path) -> DataFrame:
-    """The completed join along a path, before projection."""
+def pruned(s: Scenario, columns: list[str]) -> Scenario:
+    """The scenario whose frames keep these columns, keys, links, tuple factors, and what models and replacement need."""
+    frames = {}
+    for t, df in s.frames.items():
+        links = s.graph.touching(t)
+        keep = {s.graph.tables[t].key, relational.WEIGHT, *columns, *s.attributes.get(t, []), *s.replace.get(t, [])}
+        keep |= {r.fk for r in links if r.child == t} | {r.tf for r in links if r.parent == t}
+        frames[t] = df.select(*[c for c in df.columns if c in keep])
+    return replace(s, frames=frames)
+
+
+def run_path(s: Scenario, path: Path, columns: list[str] | None = None) -> DataFrame:
+    """The completed join along a path, before projection; with all columns, or those that `columns` needs."""
+    if columns is not None:
+        s = pruned(s, columns)
     df = relational.weighted(s.frames[path.start])
     known = list(s.attributes.get(path.start, []))
     for r, new in path.steps:
@@ -132,7 +145,7 @@ def execute(s: Scenario, p: Plan, columns: list[str]) -> DataFrame:
         return relational.project(baseline(s, set(p.requested)), columns)
     parts = []
     for path in p.branches:
-        done = run_path(s, path)
+        done = run_path(s, path, columns)
         last = path.steps[-1][0].tf if path.steps else None
         keep = [*columns, *([last] if last and last in done.columns and last not in columns else [])]
         parts.append((completion.project_requested(done, path, keep), last))
@@ -173,7 +186,7 @@ def validation(s: Scenario, removal: Removal) -> Scenario:
 def score(s: Scenario, more: Scenario, path: Path, attribute: str, values: list | None = None, key: str | None = None) -> tuple[float, float]:
     """A path's bias reduction and mean absolute error (by key, where one is given) in the validation scenario."""
     keep = [attribute, *([key] if key and key != attribute else [])]
-    done = stored(completion.project_requested(run_path(more, path), path, keep), "score")
+    done = stored(completion.project_requested(run_path(more, path, keep), path, keep), "score")
     true, base = (stored(baseline(x, set(path.requested)).select(*keep), "score") for x in (s, more))
     mean = lambda df, name: aqp.mean_or_share(df, attribute, values).withColumnRenamed("value", name)
     one = mean(done, "p").crossJoin(mean(base, "b")).crossJoin(mean(true, "t"))

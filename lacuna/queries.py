@@ -45,8 +45,8 @@ def completed_lineitems(spark, d):
     """Flagship: lineitems are removed by hash, completed from orders with known tuple factors, and counted by status."""
     orders, items = read(spark, d, "orders"), surrogate(read(spark, d, "lineitem"))
     r = REL["lineitem_orders"]
-    orders = stored(TF.add_tf(orders, items.select("l_orderkey"), r), "orders")
-    kept = items.filter(uniform(3, "keep", F.col("l_id")) < 0.5)
+    orders = stored(TF.add_tf(orders.select("o_orderkey", "o_orderstatus"), items.select("l_orderkey"), r), "orders")
+    kept = items.select("l_id", "l_orderkey", "l_returnflag").filter(uniform(3, "keep", F.col("l_id")) < 0.5)
     done = completion.join_1n(orders, kept, r, orders, "l_id", ["l_returnflag"], ["o_orderstatus"], seed=3)
     n = done.groupBy("o_orderstatus").agg(F.sum(R.WEIGHT).cast("long").alias("expected"))
     return n.join(orders.groupBy("o_orderstatus").agg(F.count("*").alias("orders")), "o_orderstatus")
@@ -361,7 +361,8 @@ def complete_n1(spark, d):
     frames = {n: read(spark, d, n) for n in ("customer", "orders", "events")}
     kept = frames["customer"].filter(F.col("c_acctbal") >= 0).select("c_custkey")
     out = removal.remove(GRAPH, frames, "customer", kept, cascade=False)
-    done = completion.join_n1(out["orders"], out["customer"], REL["orders_customer"], "o_orderkey", ["c_mktsegment"], ["o_orderstatus"])
+    left = out["orders"].select("o_orderkey", "o_custkey", "o_orderstatus"), out["customer"].select("c_custkey", "c_mktsegment")
+    done = completion.join_n1(*left, REL["orders_customer"], "o_orderkey", ["c_mktsegment"], ["o_orderstatus"])
     return done.agg(F.count("*").alias("n"), F.count_if(F.col("c_custkey") < 0).alias("synthetic"))
 
 
