@@ -6,7 +6,6 @@ import itertools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lacuna.catalog import CAP, SchemaGraph
 from lacuna.operators import relational as R, tuple_factors
@@ -20,8 +19,7 @@ def normalize_by_key(df: DataFrame, key: str, columns: list[str]) -> tuple[DataF
 
 def normalize_by_values(df: DataFrame, columns: list[str], name: str) -> tuple[DataFrame, DataFrame]:
     """A table of the distinct values with a dense number from 0, and the rest with that number."""
-    dim = df.select(*columns).distinct()
-    dim = dim.withColumn(name, F.dense_rank().over(W.orderBy(*columns)) - 1)
+    dim = R.numbered(df.select(*columns).distinct(), columns, name)
     named = dim.select(*[F.col(c).alias(f"__{c}") for c in columns], name)
     on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns]
     return dim, df.join(named, on).drop(*columns, *[f"__{c}" for c in columns])

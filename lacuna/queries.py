@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -464,7 +466,15 @@ def running_sum(spark, d):
     return R.running_total(read(spark, d, "events"), "value", "event_id", "user_id").select("event_id", "running")
 
 
-@query()
+@query(
+    """WITH RECURSIVE f AS (SELECT avg(s_acctbal) AS m, stddev_pop(s_acctbal) AS s FROM supplier),
+    t AS (SELECT s_nationkey AS g, s_suppkey AS k, coalesce((coalesce(s_acctbal, m) - m) / nullif(s, 0), 0) AS x, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier, f),
+    c AS (SELECT c_nationkey AS g, list({'k': c_custkey, 'x': coalesce((coalesce(c_acctbal, m) - m) / nullif(s, 0), 0)}) AS near FROM customer, f GROUP BY 1),
+    r AS (SELECT g, 0 AS i, near, CAST(NULL AS BIGINT) AS existing, CAST(NULL AS BIGINT) AS synthetic FROM c
+      UNION ALL SELECT g, i, list_filter(near, lambda z: z.k <> hit), k, hit
+      FROM (SELECT r.g, t.i, r.near, t.k, list_sort(list_transform(r.near, lambda z: {'d': (z.x - t.x) * (z.x - t.x), 'k': z.k}))[1].k AS hit FROM r JOIN t ON t.g = r.g AND t.i = r.i + 1 WHERE len(r.near) > 0))
+    SELECT existing, synthetic FROM r WHERE i > 0"""
+)
 def nearest_replacement(spark, d):
     """Existing suppliers take the place of synthetic customers of their nation, one to one, by nearest balance."""
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
@@ -472,9 +482,20 @@ def nearest_replacement(spark, d):
     return completion.replace_nearest(c, s, "k", ["balance"], ["nation"])
 
 
-@query()
+def _zipf_sql(u: str, values: int = 20) -> str:
+    """A value from 0 whose weight falls as 1 / (value + 1), by a draw u."""
+    weights = [1 / (k + 1) for k in range(values)]
+    steps = ", ".join(f"{s / sum(weights)!r}::DOUBLE" for s in itertools.accumulate(weights))
+    return f"least({values}, len(list_filter([{steps}], lambda x: x <= {u})) + 1) - 1"
+
+
+@query(
+    f"""WITH p AS (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS predictability), a AS (SELECT id, {_zipf_sql(uniform_sql("'1'", "'a'", "id"))} AS a FROM range(1000) t(id)),
+    c AS (SELECT a, {uniform_sql("'1'", "'flip'", "id * 5 + k")} AS flip, {_zipf_sql(uniform_sql("'1'", "'b'", "id * 5 + k"))} AS b FROM a, range(5) t(k))
+    SELECT predictability, avg((CASE WHEN flip >= predictability THEN b ELSE a END = a)::INT) AS agreement FROM c, p GROUP BY 1"""
+)
 def synthetic_bias(spark, d):
-    """Mean of the parents' value among kept children, for three degrees of predictability."""
+    """Share of the children that have their parent's value, for three degrees of predictability."""
     from lacuna.sources.tables import synthetic
 
     out = None
