@@ -131,23 +131,29 @@ def first_rows(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
     return df.orderBy(uniform(seed, "first", F.col(key)), key).limit(rows)
 
 
-def running_total(df: DataFrame, amount: str, order: str | list[str], group: str | None = None, name: str = "running") -> DataFrame:
-    """The sum of `amount` up to each row. Without a group, rows are numbered in ranges of `order`, whose totals alone meet in one task."""
-    order = [order] if isinstance(order, str) else order
+def running_total(df: DataFrame, amount: str, order: str, group: str | None = None, name: str = "running") -> DataFrame:
+    """The sum of `amount` up to each row, within a group or over all rows."""
     if group:
-        w = W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        w = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(name, F.sum(amount).over(w))
+    return running_totals(df, {name: amount}, [order])
+
+
+def running_totals(df: DataFrame, amounts: dict[str, str], order: list[str | Column]) -> DataFrame:
+    """The sums (name: amount) up to each row, rows in ranges of `order`, whose totals alone meet in one task."""
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = stored(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "running")
-    totals = parts.groupBy("__part").agg(F.sum(amount).alias("__sum"))  # a row a range
-    before = totals.withColumn("__before", F.coalesce(F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
+    totals = parts.groupBy("__part").agg(*[F.sum(a).alias(f"__sum_{n}") for n, a in amounts.items()])  # a row a range
+    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select("__part", *[F.coalesce(F.sum(f"__sum_{n}").over(earlier), F.lit(0)).alias(f"__before_{n}") for n in amounts])
     w = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return parts.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.sum(amount).over(w)).drop("__part", "__before")
+    out = parts.join(F.broadcast(before), "__part")
+    return out.withColumns({n: F.col(f"__before_{n}") + F.sum(a).over(w) for n, a in amounts.items()}).drop("__part", *[f"__before_{n}" for n in amounts])
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """A dense number from 0 by columns that no two rows share, without one task for all."""
-    return running_total(df.withColumn("__one", F.lit(1).cast("long")), "__one", order, name=name).withColumn(name, F.col(name) - 1).drop("__one")
+    return running_totals(df.withColumn("__one", F.lit(1).cast("long")), {name: "__one"}, order).withColumn(name, F.col(name) - 1).drop("__one")
 
 
 def cut_batch(df: DataFrame, amount: str, order: str, most: float) -> DataFrame:
