@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stored, text_or_empty, word_count
+from lacuna.operators import relational
+
+from .common import small_side, stored, text_or_empty, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 LIMIT = 3.0
@@ -39,23 +41,20 @@ EDGE = 1e-9
 
 
 def targets(per: DataFrame, weights=WEIGHTS, limit: float = LIMIT) -> DataFrame:
-    """per (source, source_size, n) with target. One row a source is all that a window sees."""
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    n = len(weights)
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(n)) + 1).cast("int"))
+    """per (source, source_size, n) with target. Sources are numbered and summed up in ranges: no task sees them all."""
+    by_name = F.col("source").asc_nulls_last()
+    per = relational.numbered(per, [by_name], "nth")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("nth", F.lit(len(weights))) + 1).cast("int"))
     per = per.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(limit))
     # The first sources in the order of most / weight are at their limit; the level follows from the rest.
-    order = W.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, everything = order.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(F.lit(0))
-    per = per.withColumn("total", F.sum("source_size").over(everything)).withColumn("heavy", F.sum("weight").over(everything))
-    per = per.withColumn("capped", F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-    per = per.withColumn("light", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    level = (F.col("total") - F.col("capped")) / (F.col("heavy") - F.col("light"))
-    per = per.withColumn("level", level).withColumn("nth", F.row_number().over(order))
-    holds = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct("nth", "level"))
-    per = per.withColumn("first", F.min(holds).over(everything))
-    target = F.when(F.col("nth") >= F.col("first.nth"), F.col("first.level") * F.col("weight")).otherwise(F.col("most"))
-    return per.select("source", "source_size", "n", target.cast("double").alias("target"))
+    per = per.withColumn("order", F.col("most") / F.col("weight"))
+    per = relational.running_totals(per, {"capped": "most", "light": "weight"}, ["order", by_name])
+    whole = per.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("heavy"))
+    level = (F.col("total") - F.col("capped") + F.col("most")) / (F.col("heavy") - F.col("light") + F.col("weight"))
+    holds = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct("light", "level"))
+    first = per.crossJoin(F.broadcast(whole)).withColumn("level", level).agg(F.min(holds).alias("first"))
+    target = F.when(F.col("light") >= F.col("first.light"), F.col("first.level") * F.col("weight")).otherwise(F.col("most"))
+    return per.crossJoin(F.broadcast(first)).select("source", "source_size", "n", target.cast("double").alias("target"))
 
 
 def fly(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -137,7 +136,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, block: int = BLO
     goals = stored(goals, "mix-goals")
 
     key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("size").cast("string"))
-    units = units.join(goals, F.col("source").eqNullSafe(F.col("own"))).drop("own", "n")
+    units = units.join(small_side(goals), F.col("source").eqNullSafe(F.col("own"))).drop("own", "n")
     units = units.withColumn("whole", F.floor("f")).withColumn("part", F.col("f") - F.floor("f"))
     # Of `many` equal rows, floor(many * part) are taken once more for sure.
     units = units.withColumn("sure", F.floor(F.col("many") * F.col("part") + F.lit(EDGE)))
