@@ -181,9 +181,18 @@ def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     took = mix(documents, **how).groupBy("doc_id", "source", "size").agg(F.sum("times").alias("times"), F.count("*").alias("many"))
     took = took.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "times", "many")
     both = docs.join(took, docs["doc_id"].eqNullSafe(took["d"]) & docs["source"].eqNullSafe(took["s"]) & (docs["size"] == took["z"]))
-    # Equal rows get the same share of their times; what is over goes to the first of them within a task's order of text.
-    nth = F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text", "lang", "n_chars"))) - 1
-    single, several = both.filter("many = 1").withColumn("nth", F.lit(0)), both.filter("many > 1").withColumn("nth", nth)
-    both = single.unionByName(several)
-    share = F.floor(F.col("times") / F.col("many")) + F.when(F.col("nth") < F.col("times") % F.col("many"), 1).otherwise(0)
-    return both.withColumn("share", share).filter("share > 0").select("doc_id", "text", "lang", "source", "n_chars", F.explode(F.sequence(F.lit(1).cast("long"), "share")).alias("x")).drop("x")
+    # Rows that share their times get the same number of them; what is over goes to the first in the order of a hash.
+    # Copies are counted before they meet, so that a hot one is a row.
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    single = both.filter("many = 1").withColumn("same", one).withColumn("start", zero)
+    several = both.filter("many > 1")
+    several = several.groupBy(*several.drop("d", "s", "z").columns).agg(F.count("*").alias("same"))
+    up_to = W.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text", "lang", "n_chars")).rowsBetween(W.unboundedPreceding, 0)
+    both = single.drop("d", "s", "z").unionByName(several.withColumn("start", F.sum("same").over(up_to) - F.col("same")))
+    over = F.greatest(zero, F.least("same", F.col("times") % F.col("many") - F.col("start")))
+    both = both.withColumn("share", F.floor(F.col("times") / F.col("many")) * F.col("same") + over).filter("share > 0")
+    # In runs that never make a long array.
+    run = 10_000
+    both = both.withColumn("from", F.explode(F.sequence(one, "share", F.lit(run).cast("long"))))
+    times = F.explode(F.sequence("from", F.least("share", F.col("from") + (run - 1))))
+    return both.select("doc_id", "text", "lang", "source", "n_chars", times.alias("x")).drop("x")

@@ -143,3 +143,16 @@ def test_encoding_stage(spark, corpus, empty):  # noqa: F811
     want = Counter((r["doc_id"], tuple(sp.encode(r["text"] or "", add_bos=True, add_eos=True))) for r in corpus.collect())
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in pipeline.encode_pieces(spark, corpus, "").collect()) == want
     assert pipeline.encode_pieces(spark, empty, "").count() == 0
+
+
+def test_mixing_stage_of_a_hot_copy(spark):
+    """Equal rows, more than a run of them, share their times; none is lost."""
+    rows = [(None, "a b c", "en", None, 5)] * 12000 + [(None, "d e f", "en", None, 5)] * 7 + [(1, "x y", "en", "s", 3)] * 3 + [(2, None, None, "t", None)] * 2
+    hot = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    want, got = Counter(), Counter()
+    for r in mixing.mix(hot).collect():
+        want[r["doc_id"]] += r["times"]
+    for r in pipeline.mix_sources(spark, hot, "").collect():
+        assert tuple(r) in set(rows)
+        got[r["doc_id"]] += 1
+    assert got == +want and got[None] > 10_000
