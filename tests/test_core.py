@@ -275,3 +275,21 @@ def test_samples(spark):
     assert total.count() == 0
     known = models.set_evidence(spark.createDataFrame([(1,), (2,)], "p long"), spark.createDataFrame([(5, 1, "x"), (6, 1, "y")], "c long, f long, v string"), "p", "f", "c", ["v"], 10)
     assert rows(known.select("p", "set_size")) == [(1, 2), (2, 0)]
+
+
+def test_wide_columns_are_drawn_from_pieces(spark):
+    df = spark.range(6000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("g"), F.when(F.col("id") % 50 > 0, F.pmod(F.xxhash64("id"), F.lit(900)) * F.floor(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(9)) / 2)).alias("v"))
+    train = df.filter("g is null or g < 2 or id < 30")  # the context g = 2 has too little support
+    model = models.CountModel.fit(train, "v", ["g"])
+    assert model.values > models.WIDE
+    draw = S.uniform(5, F.col("id"))
+    whole = models.CountModel(model.column, model.levels, model.rows)
+    want = rows(whole.sample(df.select("id", "g"), draw))
+    assert len(want) == 6000 and rows(model.sample(df.select("id", "g"), draw)) == want
+    assert rows(models.CountModel(model.column, model.levels, model.rows, model.values).sample(df.select("id", "g"), draw)) == want
+    large = models.CountModel(model.column, model.levels, models.SMALL + 1, model.values, model.flat)
+    assert rows(large.sample(df.select("id", "g"), draw)) == want
+    # No draw meets the array of all the values of its context.
+    none = [(own, t.withColumn("__cdf", F.when(F.rand() >= 0, F.raise_error(F.lit("the whole array"))).otherwise(F.col("__cdf")))) for own, t in model.levels]
+    model.levels = none
+    assert rows(model.sample(df.select("id", "g"), draw)) == want
