@@ -293,3 +293,25 @@ def test_wide_columns_are_drawn_from_pieces(spark):
     none = [(own, t.withColumn("__cdf", F.when(F.rand() >= 0, F.raise_error(F.lit("the whole array"))).otherwise(F.col("__cdf")))) for own, t in model.levels]
     model.levels = none
     assert rows(model.sample(df.select("id", "g"), draw)) == want
+
+
+def test_nearest_of_all_that_are_free(spark):
+    rng = np.random.default_rng(4)
+    for k in range(200):
+        n, m, d = int(rng.integers(0, 12)), int(rng.integers(0, 12)), int(rng.integers(1, 3))
+        t, c = (rng.integers(0, 6, (x, d)) / 3 if k % 2 else rng.normal(size=(x, d)) for x in (n, m))
+        assert completion.nearest_free(t, c).tolist() == completion.greedy(t, c, max(1, n)).tolist()
+    odd = completion.nearest_free(np.array([[0.0], [1.0], [2.0]]), np.array([[np.nan], [np.inf], [3.0]]))
+    assert odd.tolist() == [2, 1, 0]
+    # More rows of one block than a window once held; null blocks meet nothing.
+    e = spark.range(600).select(F.col("id").alias("k"), F.lit("a").alias("g"), F.pmod(F.xxhash64("id"), F.lit(500)).cast("double").alias("x"))
+    s = spark.range(900).select(F.col("id").alias("k"), F.lit("a").alias("g"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(500)).cast("double").alias("x"))
+    null = spark.createDataFrame([(5000, None, 1.0)], "k long, g string, x double")
+    m, sd = e.coalesce(1).agg(F.avg("x"), F.stddev_pop("x")).first()
+    free, want = {r["k"]: (r["x"] - m) / sd for r in s.collect()}, []
+    for k, x in sorted((r["k"], (r["x"] - m) / sd) for r in e.collect()):
+        hit = min(free, key=lambda j: ((free[j] - x) * (free[j] - x), j))
+        want.append((k, hit))
+        del free[hit]
+    assert sorted(map(tuple, completion.replace_nearest(s.unionByName(null), e.coalesce(1), "k", ["x"], ["g"]).collect())) == want
+    assert completion.replace_nearest(s.unionByName(null), null, "k", ["x"], ["g"]).count() == 0
