@@ -315,3 +315,24 @@ def test_nearest_of_all_that_are_free(spark):
         del free[hit]
     assert sorted(map(tuple, completion.replace_nearest(s.unionByName(null), e.coalesce(1), "k", ["x"], ["g"]).collect())) == want
     assert completion.replace_nearest(s.unionByName(null), null, "k", ["x"], ["g"]).count() == 0
+
+
+@pytest.mark.parametrize("features", [["x"], ["x", "y"]])
+def test_replacement_in_cells_finds_a_partner_for_all(spark, monkeypatch, features):
+    monkeypatch.setattr(completion, "EXACT_PAIRS", 4)
+    monkeypatch.setattr(completion, "CELL", 16, raising=False)
+    p = spark.range(1, 61).select(F.col("id").alias("pid"), F.lit(2).alias("tf_child_parent_id"), F.when(F.col("id") % 9 > 0, F.col("id") % 5).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("y"))
+    for made, linked in ((100, 100), (120, 120), (150, 120)):
+        df = spark.range(made).select((F.col("id") + 1000).alias("cid"), F.lit(None).cast("long").alias("parent_id"), (-1 - F.col("id")).alias("pid"), (F.col("id") % 50).cast("double").alias("x"), (F.col("id") % 4).cast("double").alias("y"), F.lit(7).alias("tf_child_parent_id"))
+        got = completion.replace_parents(df, p, PC, "cid", features).toPandas()
+        taken = got[got.pid > 0]
+        assert len(got) == got.cid.nunique() == made and len(taken) == linked and taken.pid.value_counts().max() <= 2
+        assert (taken.pid == taken.parent_id).all()
+
+
+def test_cells_match_near_rows(spark):
+    e = spark.range(1000).select("id", (F.col("id") / 10).alias("x"))
+    s = spark.range(3000).select((F.col("id") + 7).alias("id"), (F.pmod(F.col("id") * 1237, F.lit(3000)) / 30).alias("x"))
+    pairs = completion.replace_in_cells(s, e, "id", ["x"], 200).join(e.select(F.col("id").alias("existing"), "x"), "existing").join(s.select(F.col("id").alias("synthetic"), F.col("x").alias("z")), "synthetic")
+    n, ones, others, far = pairs.agg(F.count("*"), F.count_distinct("existing"), F.count_distinct("synthetic"), F.max(F.abs(F.col("x") - F.col("z")))).first()
+    assert n == ones == others == 1000 and far < 0.5
