@@ -336,3 +336,22 @@ def test_cells_match_near_rows(spark):
     pairs = completion.replace_in_cells(s, e, "id", ["x"], 200).join(e.select(F.col("id").alias("existing"), "x"), "existing").join(s.select(F.col("id").alias("synthetic"), F.col("x").alias("z")), "synthetic")
     n, ones, others, far = pairs.agg(F.count("*"), F.count_distinct("existing"), F.count_distinct("synthetic"), F.max(F.abs(F.col("x") - F.col("z")))).first()
     assert n == ones == others == 1000 and far < 0.5
+
+
+def test_strategies_share_their_validation(spark, monkeypatch):
+    g = catalog.tpch_like().with_complete("nation", "events")
+    table = lambda *x: spark.createDataFrame(list(enumerate(map(float, x))), "c_custkey long, c_acctbal double")
+    s, more = (planner.Scenario(g, {"customer": df}, {}) for df in (table(8, 12), table(0, 0)))
+    done, ran, run = {"nation": table(8, 10), "events": table(1, 3)}, [], []
+    monkeypatch.setattr(planner, "validation", lambda s, r: (ran.append(r.kind), more)[1])
+    monkeypatch.setattr(planner, "run_path", lambda s, path, columns: (run.append(path.start), done[path.start])[1])
+    monkeypatch.setattr(planner.completion, "project_requested", lambda df, path, columns: df)
+    bias = removal.Removal("customer", "bias", 0.5, "c_acctbal", 0.5)
+    plans = planner.plans_selected(s, {"customer"}, list(planner.Selection), bias, "c_acctbal")
+    assert [p.branches[0].start for p in plans[1:]] == ["nation"] * 4
+    found = planner.candidates(g, {"customer"})
+    assert ran == ["bias", "uniform"] and run == [p.start for p in found] * 2
+    found = [next(p for p in found if p.start == start) for start in done]
+    got = dict(zip([p.start for p in found], planner.scores(s, more, found, {"customer"}, "c_acctbal", key="c_custkey")))
+    assert got == {"nation": (pytest.approx(0.9), 1.0), "events": (pytest.approx(0.2), 8.0)}
+    assert planner.score(s, more, found[0], "c_acctbal") == (pytest.approx(got[found[0].start][0]), pytest.approx(got[found[0].start][1]))
